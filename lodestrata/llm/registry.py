@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from lodestrata.llm.bpe import round_trip
 from lodestrata.llm.shared import table
 from lodestrata.llm.simhash import simhash_groups
 
@@ -23,3 +26,10 @@ def query(name: str, sql: str | None = None):
 def op2(spark, sf_dir):
     """Near-duplicate classes of every document by 3-word SimHash within 2 bits."""
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
+@query("op7_byte_bpe")
+def op7(spark, sf_dir):
+    """Ids of every whole text under the 50k rank file, digested, and decoded again."""
+    docs = table(spark, sf_dir, "documents")
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
