@@ -7,6 +7,7 @@ import public_tokenizers
 from lodestrata.llm.bpe import round_trip
 from lodestrata.llm.shared import table
 from lodestrata.llm.simhash import simhash_groups
+from lodestrata.llm.warc import write_and_read_back
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,21 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+@query(
+    "op1_warc_capture_index",
+    """with p as (select page_id, coalesce(html, '') as body from pages),
+       d as (select page_id, strlen(body) as payload_bytes, sha256(body) as payload_digest from p),
+       f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by payload_digest)
+       select page_id, cast(payload_bytes as bigint) as payload_bytes, d.payload_digest,
+        case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+        case when first <> page_id then first end as refers_to
+       from d left join f on f.payload_digest = d.payload_digest""",
+)
+def op1(spark, sf_dir):
+    """Every page written to WARC archives, found through the capture index and read back."""
+    return write_and_read_back(table(spark, sf_dir, "pages"))
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark, sf_dir):
     """Near-duplicate classes of every document by 3-word SimHash within 2 bits."""
