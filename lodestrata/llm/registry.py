@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 
 from lodestrata.llm.bpe import round_trip
+from lodestrata.llm.mtree import top_k
 from lodestrata.llm.shared import table
 from lodestrata.llm.simhash import simhash_groups
+from lodestrata.llm.spherical import embedding_groups
 from lodestrata.llm.warc import write_and_read_back
 
 QUERIES: dict = {}
@@ -44,6 +46,38 @@ def op2(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+@query(
+    "op4_mtree_top_k",
+    """with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+       s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+        from e q join e c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+       r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+       select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
+)
+def op4(spark, sf_dir):
+    """The 20 highest integer inner products of every query row against all rows."""
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+@query(
+    "op6_spherical_kmeans_dedup",
+    """with recursive e as (select vec_id, label, cast(embedding as double[]) as v from embeddings
+        where embedding is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+         and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+       l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id
+        where list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) >= 0.98),
+       r(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.b from r join l on l.a = r.y),
+       c as (select x, min(y) as component_id from r group by x),
+       n as (select a, count(*) as n from l group by a)
+       select v.vec_id, coalesce(n.n, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept
+       from embeddings v join c on c.x = v.vec_id left join n on n.a = v.vec_id""",
+)
+def op6(spark, sf_dir):
+    """Near-duplicate classes of every embedding within its label at cosine 0.98."""
+    return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 @query("op7_byte_bpe")
 def op7(spark, sf_dir):
     """Ids of every whole text under the 50k rank file, digested, and decoded again."""
