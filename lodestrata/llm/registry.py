@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from lodestrata.llm.bpe import round_trip
+from lodestrata.llm.mixing import mixture_report
 from lodestrata.llm.mtree import top_k
 from lodestrata.llm.shared import table
 from lodestrata.llm.simhash import simhash_groups
 from lodestrata.llm.spherical import embedding_groups
+from lodestrata.llm.toxicity import grade_documents, train
 from lodestrata.llm.warc import write_and_read_back
 
 QUERIES: dict = {}
@@ -46,6 +49,14 @@ def op2(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+@query("op3_toxicity_ordinal")
+def op3(spark, sf_dir):
+    """Expected severity and grade of every document, by the model fitted on the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return grade_documents(docs, model).select("doc_id", "severity", "grade", (F.col("grade") > 0).alias("rejected"))
+
+
 @query(
     "op4_mtree_top_k",
     """with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
@@ -60,6 +71,12 @@ def op4(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
+@query("op5_low_discrepancy_mix")
+def op5(spark, sf_dir):
+    """Words that the mix takes from every document, beside its source's size and target."""
+    return mixture_report(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op6_spherical_kmeans_dedup",
     """with recursive e as (select vec_id, label, cast(embedding as double[]) as v from embeddings
