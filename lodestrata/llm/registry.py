@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lodestrata.llm.bpe import round_trip
+from lodestrata.llm import langid
 from lodestrata.llm.mixing import mixture_report
 from lodestrata.llm.mtree import top_k
 from lodestrata.llm.shared import table
@@ -100,3 +101,10 @@ def op7(spark, sf_dir):
     """Ids of every whole text under the 50k rank file, digested, and decoded again."""
     docs = table(spark, sf_dir, "documents")
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op9_byte_cnn_language")
+def op9(spark, sf_dir):
+    """Predicted language of every whole text, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict_languages(docs, langid.train(docs))
