@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lodestrata.llm.bpe import round_trip
-from lodestrata.llm import langid
+from lodestrata.llm import langid, pii
 from lodestrata.llm.mixing import mixture_report
 from lodestrata.llm.mtree import top_k
 from lodestrata.llm.shared import table
@@ -108,3 +108,9 @@ def op9(spark, sf_dir):
     """Predicted language of every whole text, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return langid.predict_languages(docs, langid.train(docs))
+
+
+@query("op10_pii_boosted")
+def op10(spark, sf_dir):
+    """Personal data in every whole text: base spans, and those the boosted trees add."""
+    return pii.find_pii(table(spark, sf_dir, "documents"), pii.train())
