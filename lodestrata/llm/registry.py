@@ -12,6 +12,7 @@ from lodestrata.llm.mtree import top_k
 from lodestrata.llm.shared import table
 from lodestrata.llm.simhash import simhash_groups
 from lodestrata.llm.spherical import embedding_groups
+from lodestrata.llm.substrings import remove_repeats
 from lodestrata.llm.toxicity import grade_documents, train
 from lodestrata.llm.warc import write_and_read_back
 
@@ -103,6 +104,12 @@ def op7(spark, sf_dir):
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op8_repeated_phrase_automata")
+def op8(spark, sf_dir):
+    """Every whole text without the words of 20-word windows that occurred earlier."""
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 @query("op9_byte_cnn_language")
 def op9(spark, sf_dir):
     """Predicted language of every whole text, learned from the rows that are not held out."""
