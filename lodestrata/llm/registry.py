@@ -121,3 +121,11 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Personal data in every whole text: base spans, and those the boosted trees add."""
     return pii.find_pii(table(spark, sf_dir, "documents"), pii.train())
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    """The five stages of ``corpus_pipeline`` over every document."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

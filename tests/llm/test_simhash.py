@@ -77,3 +77,39 @@ def test_empty_table_and_extra_columns(spark):
     assert simhash_groups(spark.createDataFrame([], "doc_id long, text string, fp long")).collect() == []
     got = simhash_groups(spark.createDataFrame([(1, "a b c d", "x", 2)], "doc_id long, text string, fingerprint string, rep long")).collect()
     assert got[0].component_id == 1
+
+
+def shingles(text, k=5):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_duplicates(spark, monkeypatch):
+    import lodestrata.llm.simhash as s
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 6)))
+    passage = " ".join(word() for _ in range(60))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randrange(3, 200))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            t = list(base)
+            for _ in range(max(1, len(t) // 80)):
+                t[rng.randrange(len(t))] = word()
+            texts.append(" ".join(t))
+    texts += [passage + " " + " ".join(word() for _ in range(150)) for _ in range(40)] + ["", None, " \n", "one two", "ONE two", texts[0].upper()]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")]
+    sets = [shingles(t) for t in texts]
+    jac = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    sure = [(i, j) for i in range(len(texts)) for j in range(i) if jac(sets[i], sets[j]) >= 0.8]
+    want = classes(sure, range(len(texts)))
+    for block in (s.BLOCK, 16):
+        monkeypatch.setattr(s, "BLOCK", block)
+        got = s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()
+        assert len(got) == len(rows)
+        own = {r.doc_id: r.component_id for r in got}
+        assert all(own[x] >= min(next(c for c in want if x in c)) for x in own)  # nothing is linked below 0.8
+        assert sum(own[i] == own[j] for i, j in sure) >= 0.99 * len(sure)
+    assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
