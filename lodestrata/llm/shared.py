@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: ASCII white space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits on exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +45,33 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker's Python copies of long texts stay small whatever the batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def with_text_columns(docs: DataFrame, text_col: str, fn: Callable[[list], list[pa.Array]], added: str, keep: list[str] | None = None, rows: int = 512) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) and those of the DDL ``added``, made by ``fn`` from the texts.
+
+    A column of ``docs`` that is also in ``added`` is replaced.  A worker holds ``rows`` texts at a time.
+    """
+    new = T.StructType.fromDDL(added)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    base = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, rows):
+            made = fn(b.column(len(kept)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *made], names=[*kept, *new.names])
+
+    out = base.mapInArrow(run, T.StructType([*base.schema.fields[: len(kept)], *new.fields]))
+    order = [c for c in (docs.columns if keep is None else keep) if c in out.columns]
+    return out.select(*order, *[c for c in new.names if c not in order])
+
+
 def parallelism(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
