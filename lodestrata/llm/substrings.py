@@ -23,38 +23,87 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lodestrata.llm.shared import parallelism, written
+from lodestrata.llm.shared import parallelism, pieces, written
 
 WINDOW = 20
 PHRASE = 5
 ROWS_PER_SHARD = 100_000
 _MEMO = 300_000
 _LAST = (1 << 63) - 1
+#: Bits of a position beside a hash; longer texts take a slower way to the same result.
+_PLACE = 24
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return h
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_PIECE = 1 << 18
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def anchors(words: list[bytes], hashes: _WordHash, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase hashes by position, anchor position of each window)."""
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_BASE, _PIECE + 1), _powers(_INVERSE, _PIECE + 1)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes as a polynomial, from prefix sums over the text.
+
+    Long texts go piece by piece, cut at white space; a word longer than a piece makes its piece longer.
+    """
+    out, at = [np.zeros(0, np.uint64)], 0
+    every = np.frombuffer(data, np.uint8)
+    while at < len(every):
+        end = min(len(every), at + _PIECE)
+        while end < len(every) and not _SPACE[every[end - 1]]:
+            gaps = np.flatnonzero(_SPACE[every[at:end]])
+            end = at + int(gaps[-1]) + 1 if len(gaps) else min(len(every), at + 2 * (end - at))
+        b = every[at:end]
+        power, inverse = (_POWERS, _INVERSES) if len(b) <= _PIECE else (_powers(_BASE, len(b) + 1), _powers(_INVERSE, len(b) + 1))
+        edge = np.flatnonzero(np.diff(_SPACE[b], prepend=True, append=True))
+        starts, ends = edge[::2], edge[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b + np.uint64(1)) * power[: len(b)], out=sums[1:])
+        out.append((sums[ends] - sums[starts]) * inverse[starts])
+        at = end
+    return out[1] if len(out) == 2 else np.concatenate(out)
+
+
+def anchors(data: bytes, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase hashes by position, anchor position of each window), both empty below ``window`` words."""
+    w = word_hashes(data)
+    if len(w) < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     n = len(w) - phrase + 1
     h = np.zeros(n, np.uint64)
     for i in range(phrase):
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w[i : i + n]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(32)
-    span = window - phrase + 1
-    at = np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1) + np.arange(n - span + 1)
-    return h, at
+    return h, _least(h, window - phrase + 1)
+
+
+def _least(h: np.ndarray, span: int) -> np.ndarray:
+    """Position of the least hash in each stretch of ``span``, the leftmost of equals, by doubling stretches.
+
+    Position takes the place of the low bits, so hashes that differ only there count as equal: leftmost again.
+    """
+    n = len(h)
+    if n >= 1 << _PLACE:
+        return np.lib.stride_tricks.sliding_window_view(h >> np.uint64(_PLACE), span).argmin(axis=1) + np.arange(n - span + 1)
+    m, have = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(n, dtype=np.uint64), 1
+    while have * 2 <= span:
+        m = np.minimum(m[:-have], m[have:])
+        have *= 2
+    if have < span:
+        m = np.minimum(m[: n - span + 1], m[span - have : span - have + n - span + 1])
+    return (m & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
 
 
 def _sorted_distinct(at: np.ndarray) -> np.ndarray:
@@ -69,14 +118,13 @@ def _find_anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     """(h, th, doc, pos): every anchor of every text of at least ``window`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, names = _WordHash(), ["h", "th", "doc", "pos"]
-        for b in batches:
+        names = ["h", "th", "doc", "pos"]
+        for b in pieces(batches):
             doc, th = np.asarray(b.column(0)), np.asarray(b.column(1))
             hs, at, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
-                words = text.split() if text else []
-                if len(words) >= window:
-                    h, pos = anchors(words, memo, window, phrase)
+                h, pos = anchors(text or b"", window, phrase)
+                if len(pos):
                     pos = _sorted_distinct(pos)
                     hs.append(h[pos])
                     at.append(pos)
@@ -122,12 +170,13 @@ def _stretches(joined: DataFrame, window: int, phrase: int) -> DataFrame:
     schema = "h long, kind int, doc long, th long, at int, rel int, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sent, known = _WordHash(), {}, set()
-        for b in batches:
+        sent, known = {}, set()
+        for b in pieces(batches):
             out: list[tuple] = []
             for doc, th, text, marks in zip(*(b.column(i).to_pylist() for i in range(4))):
-                words = text.encode().split()
-                h, at = anchors(words, memo, window, phrase)
+                data = text.encode()
+                words = data.split()
+                h, at = anchors(data, window, phrase)
                 edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
                 marked = np.isin(at[edges[:-1]], marks)
                 for a, z in zip(edges[:-1][marked].tolist(), edges[1:][marked].tolist()):
@@ -193,17 +242,17 @@ def _cut(joined: DataFrame, window: int, phrase: int, texts: bool) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHash()
-        for b in batches:
+        for b in pieces(batches):
             n_words, n_removed, digests, kept = [], [], [], []
             for text, marks, owned, copy in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
-                words = text.encode().split() if text else []
+                data = text.encode() if text else b""
+                words = data.split()
                 n_words.append(len(words))
                 if copy and len(words) >= window:
                     n_removed.append(len(words))
                     words = []
                 elif marks and len(words) >= window:
-                    _, at = anchors(words, memo, window, phrase)
+                    _, at = anchors(data, window, phrase)
                     again = np.isin(at, marks)
                     for o in owned or ():
                         for i in range(o["mask"].bit_length()):
@@ -212,7 +261,7 @@ def _cut(joined: DataFrame, window: int, phrase: int, texts: bool) -> DataFrame:
                     cover = np.zeros(len(words) + 1, np.int64)
                     starts = np.flatnonzero(again)
                     cover[starts] += 1
-                    np.subtract.at(cover, starts + window, 1)
+                    cover[starts + window] -= 1
                     gone = cover.cumsum()[:-1] > 0
                     n_removed.append(int(gone.sum()))
                     words = [w for w, g in zip(words, gone.tolist()) if not g]

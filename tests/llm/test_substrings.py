@@ -51,3 +51,29 @@ def test_texts_and_empty(spark):
     got = {r.doc_id: r.kept for r in remove_repeats(df, texts=True).collect()}
     assert got == {1: "x", 2: " ".join(map(str, range(30))) + " y"}
     assert remove_repeats(df.limit(0)).collect() == []
+
+
+def test_least_positions():
+    import numpy as np
+
+    from lodestrata.llm import substrings as s
+
+    rng = np.random.default_rng(1)
+    for span in (1, 2, 5, 16, 19):
+        h = rng.integers(0, 6, 300).astype(np.uint64) << np.uint64(50)
+        want = np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1) + np.arange(len(h) - span + 1)
+        assert (s._least(h, span) == want).all()
+
+
+def test_word_hashes_in_pieces(monkeypatch):
+    import numpy as np
+
+    from lodestrata.llm import substrings as s
+
+    rng = random.Random(4)
+    data = b"".join(rng.choice([b" ", b"\n", b"  ", b"\t"]) + bytes(rng.choice(b"abc\xc3\x00") for _ in range(rng.randrange(1, 30))) for _ in range(400)) + b" " + b"x" * 900 + b" y"
+    whole = s.word_hashes(data)
+    of = dict(zip(data.split(), whole.tolist()))
+    assert len(whole) == len(data.split()) and [of[w] for w in data.split()] == whole.tolist() and len(set(of.values())) == len(of)
+    monkeypatch.setattr(s, "_PIECE", 64)
+    assert (s.word_hashes(data) == whole).all() and len(s.word_hashes(b" \n")) == 0 and len(s.word_hashes(b"")) == 0
