@@ -16,7 +16,7 @@ def connect(sf_dir: str):
     import duckdb
 
     con = duckdb.connect()
-    con.execute("set timezone='UTC'")
+    con.execute("set timezone='UTC'; set memory_limit='3GB'; set threads=4; set max_temp_directory_size='1GB'")
     for p in Path(sf_dir).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p if p.is_file() else f'{p}/*.parquet'}'")
     return con
