@@ -16,28 +16,34 @@ from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from lodestrata.llm.shared import pieces, with_text_columns
+
 #: Entries kept by a worker's tables of pieces and of token pairs before they are started anew.
-MEMO = 200_000
+MEMO = 150_000
 #: Longest piece (bytes) that is worth remembering.
 MEMO_PIECE = 64
 
 
 class _Memo(dict):
-    """A table filled on demand, emptied when it is full."""
+    """A table filled on demand, in two generations: when the young one is full the old one goes, but for what is used again."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int = MEMO):
         super().__init__()
-        self._make = make
+        self._make, self._limit, self._old = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        out = self._old.get(key)
+        if out is None:
+            out = self._make(key)
+        if len(self) >= self._limit:
+            self._old = dict(self)
             self.clear()
-        out = self._make(key)
-        if len(key) <= MEMO_PIECE:
+        if isinstance(key, int) or len(key) <= MEMO_PIECE:
             self[key] = out
         return out
 
@@ -52,10 +58,12 @@ class Bpe:
         self.split = regex.compile(pattern).findall
         self.trie = ahocorasick.Automaton()
         for b, i in ranks.items():
-            self.trie.add_word(b.decode("latin-1"), (len(b), i))
+            self.trie.add_word(b.decode("latin-1"), i)
         self.trie.make_automaton()
-        self.fits = _Memo(lambda pair: self._merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == list(pair))
-        self.whole = _Memo(lambda one: self._merged(self.bytes_of[one[0]]) == list(one))
+        self.size_of = {i: len(b) for b, i in ranks.items()}
+        # keys: left * 2^32 + right, and a token that starts a piece
+        self.fits = _Memo(lambda pair: self._merged(self.bytes_of[pair >> 32] + self.bytes_of[pair & 0xFFFFFFFF]) == [pair >> 32, pair & 0xFFFFFFFF])
+        self.whole = _Memo(lambda one: self._merged(self.bytes_of[one]) == [one])
         self.piece = _Memo(lambda text: tuple(self.encode_piece(text.encode())))
 
     def _merged(self, data: bytes) -> list[int]:
@@ -69,31 +77,46 @@ class Bpe:
         return [self.ranks[p] for p in parts]
 
     def encode_piece(self, data: bytes) -> list[int]:
+        """Longest matches all along where these fit together, which is the rule; else with steps back."""
         if (one := self.ranks.get(data)) is not None:
             return [one]
-        starts: list[list] = [[] for _ in data]
-        for end, (n, token) in self.trie.iter(data.decode("latin-1")):
-            starts[end - n + 1].append((n, token))  # a start's tokens come in order of length
+        text, fits = data.decode("latin-1"), self.fits
+        out = [t for _, t in self.trie.iter_long(text)]
+        if out and self.whole[out[0]] and sum(map(self.size_of.__getitem__, out)) == len(data):
+            last = out[0]
+            for t in out[1:]:
+                if not fits[last << 32 | t]:
+                    break
+                last = t
+            else:
+                return out
+        return self._backtracked(text)
+
+    def _backtracked(self, text: str) -> list[int]:
+        starts: list[list] = [[] for _ in text]
+        size_of = self.size_of
+        for end, token in self.trie.iter(text):
+            starts[end - size_of[token] + 1].append(token)  # a start's tokens come in order of length
         out: list[tuple[int, int]] = []  # (index in starts[at], token)
-        at, dead, last = 0, bytearray(len(data) + 1), -1
+        at, dead, last = 0, bytearray(len(text) + 1), -1
         choice = len(starts[0]) - 1
-        while at < len(data):
+        while at < len(text):
             options = starts[at]
             while choice >= 0:
-                n, token = options[choice]
-                if not dead[at + n] and (self.whole[(token,)] if last < 0 else self.fits[(last, token)]):
+                token = options[choice]
+                if not dead[at + size_of[token]] and (self.whole[token] if last < 0 else self.fits[last << 32 | token]):
                     break
                 choice -= 1
             if choice >= 0:
                 out.append((choice, token))
-                at, last = at + n, token
-                choice = len(starts[at]) - 1 if at < len(data) else -1
+                at, last = at + size_of[token], token
+                choice = len(starts[at]) - 1 if at < len(text) else -1
                 continue
             if not out:
                 raise ValueError("the rank table lacks a single byte")
             dead[at] = 1
             choice, token = out.pop()
-            at -= len(self.bytes_of[token])
+            at -= size_of[token]
             choice -= 1
             last = out[-1][1] if out else -1
         return [t for _, t in out]
@@ -118,18 +141,19 @@ def load(path: str, pattern: str) -> Bpe:
     return _BUILT[path, pattern]
 
 
-def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with an array<int> column of the token ids of the whole text.
+def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with an array<int> column of the token ids of the whole text.
 
     A null text encodes as an empty one: no tokens.  A column already named ``ids_col`` is replaced.
     """
 
-    @F.pandas_udf("array<int>")
-    def ids(texts):
+    def ids(texts: list) -> list[pa.Array]:
         bpe = load(path, pattern)
-        return texts.map(lambda t: bpe.encode(t) if t else [])
+        each = [np.array(bpe.encode(t) if t else [], np.int32) for t in texts]
+        ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32)))]
 
-    return docs.withColumn(ids_col, ids(F.col(text_col).cast("string")))
+    return with_text_columns(docs, text_col, ids, f"`{ids_col}` array<int>", keep)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +164,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             n, a, b = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text) if text else []
