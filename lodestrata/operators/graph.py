@@ -99,6 +99,19 @@ def container_path(symbols: DataFrame, kind: str | None = None, depth: int = MAX
     return found
 
 
+def _repeated(step, df: DataFrame, times: int = 3) -> DataFrame:
+    """Several steps of an iteration in one plan, then written."""
+    for _ in range(times):
+        df = step(df)
+    return kept(df)
+
+
+def _trimmed(live: DataFrame) -> DataFrame:
+    """Edges whose start has an edge in and whose end has an edge out."""
+    into, out_of = live.select(F.col("b").alias("a")).distinct(), live.select(F.col("a").alias("b")).distinct()
+    return live.join(into, "a", "left_semi").join(out_of, "b", "left_semi").select("a", "b")
+
+
 def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """G1: (node, component) of every node that lies on a cycle; the component is its least node.
 
@@ -110,31 +123,25 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     live, found = kept(edges.filter("a <> b")), None
     for _ in range(max_rounds):
-        while True:  # trim
-            n = live.count()
-            into, out_of = live.select(F.col("b").alias("a")).distinct(), live.select(F.col("a").alias("b")).distinct()
-            live = kept(live.join(into, "a", "left_semi").join(out_of, "b", "left_semi").select("a", "b"))
+        while True:
+            n, live = live.count(), _repeated(_trimmed, live)
             if live.count() == n:
                 break
         if live.isEmpty():
             break
         colour = kept(live.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))
-        while True:  # forward least label
-            pushed = live.join(colour, live["a"] == colour["node"]).select(F.col("b").alias("node"), "colour")
-            new = kept(colour.union(pushed).groupBy("node").agg(F.min("colour").alias("colour")))
-            moved = not new.join(colour, ["node", "colour"], "left_anti").isEmpty()
-            colour = new
-            if not moved:
+        while True:  # the least label that reaches a node
+            push = lambda c: c.union(live.join(c, live["a"] == c["node"]).select(F.col("b").alias("node"), "colour")).groupBy("node").agg(F.min("colour").alias("colour"))  # noqa: E731, B023
+            old, colour = colour, _repeated(push, colour)
+            if colour.join(old, ["node", "colour"], "left_anti").isEmpty():
                 break
         ca, cb = colour.toDF("a", "ca"), colour.toDF("b", "cb")
-        inside = kept(live.join(ca, "a").join(cb, "b").filter("ca = cb").select("a", "b", F.col("ca").alias("colour")))
-        part = colour.filter("node = colour")
-        while True:  # back from each root
-            more = inside.join(part, (inside["b"] == part["node"]) & (inside["colour"] == part["colour"])).select(F.col("a").alias("node"), inside["colour"])
-            new = kept(part.union(more).distinct())
-            grown = new.count() > part.count()
-            part = new
-            if not grown:
+        inside = kept(live.join(ca, "a").join(cb, "b").filter("ca = cb").select("a", "b", F.col("ca").alias("of")))
+        part = kept(colour.filter("node = colour"))
+        while True:  # back from each root, inside its colour
+            back = lambda p: p.union(inside.join(p, (inside["b"] == p["node"]) & (inside["of"] == p["colour"])).select(F.col("a").alias("node"), F.col("of").alias("colour"))).distinct()  # noqa: E731, B023
+            n, part = part.count(), _repeated(back, part)
+            if part.count() == n:
                 break
         many = part.groupBy("colour").count().filter("count > 1").select("colour")
         got = kept(part.join(many, "colour", "left_semi").select("node", F.col("colour").alias("component")))
