@@ -135,6 +135,15 @@ class FactLake:
         new = rows.select(*key, F.col(column).alias("_new")).dropDuplicates(key)
         return self.write_table(table, self.read(table).join(new, key, "left").withColumn(column, F.coalesce(column, "_new")).drop("_new"))
 
+    def put_meta(self, **values: str) -> int:
+        """Small facts about a scan, by name."""
+        return self.upsert("meta", self.spark.createDataFrame([(k, str(v)) for k, v in values.items()], "key string, value string"))
+
+    def meta(self, *names: str) -> dict[str, str] | None:
+        """The values of all ``names``, or None if one is missing."""
+        held = {r["key"]: r["value"] for r in self.read("meta").filter(F.col("key").isin(*names)).collect()}
+        return held if set(names) <= set(held) else None
+
     def rebuild(self) -> int:
         """K9: facts go, what people and agents wrote stays."""
         old = self.version()
@@ -183,3 +192,16 @@ class FactLake:
         at, fs = self._path(out)
         manifest["parse_failures"] = {s.getPath().getName()[7:]: s.getPath().toString() for s in fs.listStatus(at) if s.getPath().getName().startswith("bucket=")}
         return self._publish(new, manifest)
+
+
+def inventory(spark: SparkSession, folder: str) -> list[dict]:
+    """The lakes right below a folder, with their published version and size in bytes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = []
+    for s in fs.listStatus(at) if fs.exists(at) else []:
+        root = s.getPath().toString()
+        version = FactLake(spark, root).version() if s.isDirectory() else 0
+        if version:
+            out.append({"root": root, "version": version, "bytes": fs.getContentSummary(s.getPath()).getLength()})
+    return sorted(out, key=lambda x: x["root"])

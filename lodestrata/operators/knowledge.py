@@ -99,6 +99,26 @@ def gaps_ranked(gaps: DataFrame, answers: DataFrame, stale: DataFrame, refs: Dat
     )
 
 
+def gap_tree(root: str, refs: DataFrame, symbols: DataFrame, answers: DataFrame, depth: int = 8, limit: int = 500) -> DataFrame:
+    """(symbolId, depth, answered) of what ``root`` uses, directly or not, the deepest first; at most ``limit`` rows.
+
+    Symbols at equal depth come by id: the exact post-order of a walk is a driver-side notion.  What isn't declared here is left out.
+    """
+    own = symbols.select(F.col("symbolId").alias("node"))
+    uses = refs.filter("fromId is not null and targetId is not null").select(F.col("fromId").alias("a"), F.col("targetId").alias("b")).distinct()
+    uses = uses.join(own.toDF("b"), "b", "left_semi")
+    front = found = own.filter(F.col("node") == root).withColumn("depth", F.lit(0))
+    for d in range(1, depth + 1):
+        step = front.join(uses, front["node"] == uses["a"]).select(F.col("b").alias("node")).distinct()
+        front = kept(step.join(found, "node", "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
+        found = kept(found.union(front))
+    held = answers.select(F.col("symbolId").alias("node"), F.lit(True).alias("answered")).distinct()
+    tree = found.join(held, "node", "left").select(F.col("node").alias("symbolId"), "depth", F.coalesce("answered", F.lit(False)).alias("answered"))
+    return tree.orderBy(F.desc("depth"), "symbolId").limit(limit)
+
+
 def migrate_keys(rows: DataFrame, moves: DataFrame, key: str, within: list[str]) -> DataFrame:
     """K8: rows moved along (oldKey, newKey) unless the new place is taken; what can't move is dropped."""
     moving = rows.join(moves, rows[key] == moves["oldKey"])

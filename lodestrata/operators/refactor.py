@@ -214,3 +214,24 @@ class Journal:
     def prune(self) -> None:
         used = {h for s in self.steps for pair in s["images"].values() for h in pair if h}
         self.blobs = {h: b for h, b in self.blobs.items() if h in used}
+
+
+def plan_rename(symbols: DataFrame, refs: DataFrame, imports: DataFrame, files: DataFrame, target: str, name: str, new_name: str) -> dict[str, DataFrame]:
+    """A rename as tables: its sites, declarations it would collide with, other spellings of the old name, the new texts, and the id moves.
+
+    files is (module, text).  Nothing is written; a file whose edits conflict has no text but a problem.
+    """
+    from lodestrata.functions.ids import SymbolId, compose_symbol, parse_symbol
+
+    old = parse_symbol(target)
+    if old is None or not old.descriptors:
+        raise ValueError(f"not a symbol id: {target!r}")
+    last = old.descriptors[-1]
+    new = compose_symbol(SymbolId(old.language, old.module, (*old.descriptors[:-1], type(last)(last.kind, new_name, last.disambiguator))))
+    sites = rename_sites(symbols, refs, imports, target, name)
+    touched = sites.select("module").distinct()
+    return {
+        "sites": sites, "collisions": would_collide(symbols, touched, new_name),
+        "unbound": refs.filter((F.col("name") == name) & ~F.col("targetId").eqNullSafe(F.lit(target))).join(touched, "module", "left_semi"),
+        "files": apply_to_files(files.join(touched, "module", "left_semi"), rename_edits(sites, new_name)), "moves": id_map(symbols, target, new),
+    }

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import content_hash
-from lodestrata.lake import FactLake
+from lodestrata.lake import FactLake, inventory
 from lodestrata.sources import files as sources
 from lodestrata.sources import vcs
 from lodestrata.streaming import feed
@@ -54,6 +54,9 @@ def test_knowledge_tables(spark, lake):
     lake.ingest(listed(spark, {"a.py": "x = 1\n"}), 1)
     lake.rebuild()
     assert lake.read("symbols").count() == 0 and lake.read("gaps").count() == 1
+    lake.put_meta(scannedAt="5", files="1")
+    assert lake.meta("scannedAt", "files") == {"scannedAt": "5", "files": "1"} and lake.meta("nope") is None
+    assert [x["version"] for x in inventory(spark, lake.root.rsplit("/", 1)[0])] == [lake.version()]
     lake.drop()
     assert lake.version() == 0
     with pytest.raises(KeyError):

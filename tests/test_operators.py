@@ -153,3 +153,18 @@ def test_journal():
     assert j.recover() == {"a": "before"}
     j.commit(force=True)
     assert j.state == "committed"
+
+
+def test_rename_plan_and_gap_tree(spark):
+    from lodestrata.sources.extract.base import explode_facts, extract
+
+    files = spark.createDataFrame([("m.py", "def f():\n    return h()\ndef h():\n    return 1\nf()\n"), ("n.py", "def z(): pass\n")], "module string, text string")
+    facts = explode_facts(extract(files))
+    f, h = "sym python m.py f().", "sym python m.py h()."
+    plan = refactor.plan_rename(facts["symbols"], facts["refs"], facts["imports"], files, h, "h", "help")
+    assert plan["sites"].count() == 2 and plan["collisions"].count() == 0 and plan["unbound"].count() == 0
+    assert [(r.text, r.problem) for r in plan["files"].collect()] == [("def f():\n    return help()\ndef help():\n    return 1\nf()\n", None)]
+    assert [(r.oldKey, r.newKey) for r in plan["moves"].collect()] == [(h, "sym python m.py help().")]
+    assert refactor.plan_rename(facts["symbols"], facts["refs"], facts["imports"], files, h, "h", "f")["collisions"].count() == 1
+    answers = spark.createDataFrame([(h,)], "symbolId string")
+    assert list(map(tuple, knowledge.gap_tree(f, facts["refs"], facts["symbols"], answers).collect())) == [(h, 1, True), (f, 0, False)]
