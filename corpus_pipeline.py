@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.llm import bpe, mixing, pii, simhash, toxicity
 from lodestrata.llm.shared import table, written
+from lodestrata.runtime import on_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade by the ordinal model is the lowest; the model is fitted on the labelled rows of ``docs``."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    graded = toxicity.grade_documents(docs.withColumn("_all", F.struct(*docs.columns)), model)
-    return graded.filter(F.col("grade") <= min(model.grades)).select("_all.*")
+    graded = toxicity.grade_documents(docs, model, severity_col="_severity", grade_col="_grade")
+    return graded.filter(F.col("_grade") <= min(model.grades)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +45,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids) of every document."""
-    ids = bpe.encode_table(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode_table(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "source"])
     return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
-    ("toxicity", reject_toxic),
-    ("simhash_near_dedup", drop_near_copies),
-    ("pii", mask_personal_data),
-    ("mixing", mix_sources),
-    ("byte_bpe", encode),
+    ("toxicity", on_path(reject_toxic)),
+    ("simhash_near_dedup", on_path(drop_near_copies)),
+    ("pii", on_path(mask_personal_data)),
+    ("mixing", on_path(mix_sources)),
+    ("byte_bpe", on_path(encode)),
 ]
 
 #: The stages' models and searches are not expressible in SQL; tests/llm/test_pipeline.py holds them against brute force.

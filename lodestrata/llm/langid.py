@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from lodestrata.llm.shared import pieces
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 EMBED, FILTERS = 8, 16
@@ -173,7 +175,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     thin = rows.join(F.broadcast(cuts), "lang").withColumn("key", key).filter("key < share")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             langs, keys, some = [], [], []
             for lang, key, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if not text or not _LETTER(text):
@@ -199,7 +201,7 @@ def predict_languages(docs: DataFrame, model: ByteCnn, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             langs, scores = model.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 

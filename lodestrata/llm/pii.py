@@ -20,10 +20,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodestrata.llm.shared import pieces, with_text_columns
+
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.995
 Span = tuple[str, int, int]
@@ -352,7 +353,7 @@ def find_pii(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = all_spans([t or "" for t in b.column(1).to_pylist()], model)
             counts = [[sum(s[0] == k for s in base) for base, _ in found] for k in KINDS]
             yield pa.RecordBatch.from_arrays(
@@ -378,9 +379,8 @@ def masked(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, model: Boosted, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``text_col`` masked; null stays null."""
 
-    @F.pandas_udf("string")
-    def cover(texts: pd.Series) -> pd.Series:
+    def cover(texts: list) -> list[pa.Array]:
         found = all_spans([t or "" for t in texts], model)
-        return pd.Series([t if t is None else masked(t, every) for t, (_, every) in zip(texts, found)], dtype=object)
+        return [pa.array([t if t is None else masked(t, every) for t, (_, every) in zip(texts, found)], pa.string())]
 
-    return docs.withColumn(text_col, cover(F.col(text_col).cast("string")))
+    return with_text_columns(docs, text_col, cover, f"`{text_col}` string")

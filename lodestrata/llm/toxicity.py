@@ -17,9 +17,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodestrata.llm.shared import with_text_columns
+
 SAMPLE_PER_GRADE = 2500
 MAX_GRADES = 32
 BUCKETS = 1 << 22
@@ -28,7 +30,8 @@ STEMS = range(3, 9)
 MIN_TEXTS = 3
 EPOCHS, MIN_STEPS, BATCH, RATE, L1 = 25, 1500, 128, 0.3, 1e-4
 _WORDS = re.compile(r"[^\W_]+").findall
-_MEMO = 500_000
+_MEMO = 100_000
+_NONE: list = []
 
 
 def word_buckets(word: str) -> list[int]:
@@ -56,7 +59,7 @@ class CumulativeLink:
         return self.grades[0] + above @ np.diff(self.grades), (above > 0.5).sum(axis=1)
 
 
-def fit(samples: list[tuple[float, list[int], float]]) -> CumulativeLink:
+def fit(samples: list[tuple[float, np.ndarray, float]]) -> CumulativeLink:
     """(grade, buckets, weight) rows -> model, by proximal Adagrad over the ordinal likelihood."""
     grades = sorted({g for g, _, _ in samples})
     k = len(grades)
@@ -64,8 +67,9 @@ def fit(samples: list[tuple[float, list[int], float]]) -> CumulativeLink:
         return CumulativeLink(grades or [0.0], {}, np.zeros(max(0, k - 1)))
     every, df = np.unique(np.concatenate([np.asarray(x, np.int64) for _, x, _ in samples]), return_counts=True)
     used_buckets = every[df >= MIN_TEXTS]
-    xs = [np.flatnonzero(np.isin(used_buckets, x, assume_unique=True)) for _, x, _ in samples]
     width = len(used_buckets)
+    at = [np.minimum(np.searchsorted(used_buckets, x), max(0, width - 1)) for _, x, _ in samples]
+    xs = [i[used_buckets[i] == x] if width else i[:0] for i, (_, x, _) in zip(at, samples)]
     y = np.array([grades.index(g) for g, _, _ in samples])
     sw = np.array([s for _, _, s in samples])
     sw = sw / sw.mean()
@@ -118,26 +122,26 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col:
         return fit([])
     some = F.broadcast(spark.createDataFrame(picks, "doc_id long, grade double"))  # at most MAX_GRADES * SAMPLE_PER_GRADE rows
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def features(texts):
-        return texts.map(lambda t: buckets(t).tolist())
+        return texts.map(lambda t: buckets(t).astype("<i4").tobytes())
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(some, "doc_id")
     found = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("doc_id", "grade", features("text").alias("x")).collect()
-    return fit([(r.grade, r.x, per[r.grade]) for r in sorted(found, key=lambda r: r.doc_id)])
+    return fit([(r.grade, np.frombuffer(r.x, "<i4"), per[r.grade]) for r in sorted(found, key=lambda r: r.doc_id)])
 
 
-def grade_documents(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``severity`` (double) and ``grade`` (double) of each whole text.
+def grade_documents(
+    docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text", severity_col: str = "severity", grade_col: str = "grade"
+) -> DataFrame:
+    """``docs`` with the expected severity and the grade (both double) of each whole text.
 
     Defined cases: a null or wordless text has no features and gets the severity of an empty text; a model fitted without
     labels, or with one grade only, gives that grade (0 without any); existing columns of these names are replaced.
     """
-
     weight_of: dict[str, list[tuple[int, float]]] = {}  # filled in each worker
 
-    @F.pandas_udf("severity double, grade double")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    def score(texts: list) -> list[pa.Array]:
         scores = np.zeros(len(texts))
         for i, text in enumerate(texts):
             hit: dict[int, float] = {}
@@ -146,12 +150,11 @@ def grade_documents(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_i
                 if at is None:
                     if len(weight_of) >= _MEMO:
                         weight_of.clear()
-                    at = weight_of[word] = [(b, model.w[b]) for b in word_buckets(word) if b in model.w]
+                    at = weight_of[word] = [(b, model.w[b]) for b in word_buckets(word) if b in model.w] or _NONE
                 if at:
                     hit.update(at)
             scores[i] = sum(hit.values())
         severity, grade = model.severity(scores)
-        return pd.DataFrame({"severity": severity, "grade": np.array(model.grades)[grade]})
+        return [pa.array(severity, pa.float64()), pa.array(np.array(model.grades)[grade], pa.float64())]
 
-    got = docs.withColumn("_graded", both(F.col(text_col).cast("string")))
-    return got.withColumns({"severity": F.col("_graded.severity"), "grade": F.col("_graded.grade")}).drop("_graded")
+    return with_text_columns(docs, text_col, score, f"`{severity_col}` double, `{grade_col}` double")
