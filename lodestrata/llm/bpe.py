@@ -61,8 +61,11 @@ class Bpe:
             self.trie.add_word(b.decode("latin-1"), i)
         self.trie.make_automaton()
         self.size_of = {i: len(b) for b, i in ranks.items()}
+        # the next shorter token that a token starts with
+        self.shorter = {i: next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), -1) for b, i in ranks.items()}
         # keys: left * 2^32 + right, and a token that starts a piece
-        self.fits = _Memo(lambda pair: self._merged(self.bytes_of[pair >> 32] + self.bytes_of[pair & 0xFFFFFFFF]) == [pair >> 32, pair & 0xFFFFFFFF])
+        self.fits = _Memo(lambda pair: self._fit(pair >> 32, pair & 0xFFFFFFFF))
+        self.ends, self.starts = _Memo(lambda one: self._edge(one, 1)), _Memo(lambda one: self._edge(one, 0))
         self.whole = _Memo(lambda one: self._merged(self.bytes_of[one]) == [one])
         self.piece = _Memo(lambda text: tuple(self.encode_piece(text.encode())))
 
@@ -76,6 +79,34 @@ class Bpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
+        """What stands at a token's left (0) or right (1) edge while it is merged: each part, and the rank that takes it up."""
+        data, taken, out = self.bytes_of[token], float("inf"), []
+        while True:
+            out.append((data, taken))
+            if len(data) == 1:
+                return out
+            taken, parts = self.ranks[data], [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                _, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            data = parts[side]
+
+    def _fit(self, left: int, right: int) -> bool:
+        """Whether two neighbours stay apart: no merge across their border comes before both its parts are taken up.
+
+        Of equal ranks the leftmost is first, so a part of the left token is taken up before, one of the right token after.
+        """
+        if not (self.whole[left] and self.whole[right]):
+            return False
+        starts, rank = self.starts[right], self.ranks.get
+        for x, taken_x in self.ends[left]:
+            for y, taken_y in starts:
+                r = rank(x + y)
+                if r is not None and r < taken_x and r <= taken_y:
+                    return False
+        return True
+
     def encode_piece(self, data: bytes) -> list[int]:
         """Longest matches all along where these fit together, which is the rule; else with steps back."""
         if (one := self.ranks.get(data)) is not None:
@@ -93,33 +124,27 @@ class Bpe:
         return self._backtracked(text)
 
     def _backtracked(self, text: str) -> list[int]:
-        starts: list[list] = [[] for _ in text]
-        size_of = self.size_of
-        for end, token in self.trie.iter(text):
-            starts[end - size_of[token] + 1].append(token)  # a start's tokens come in order of length
-        out: list[tuple[int, int]] = []  # (index in starts[at], token)
-        at, dead, last = 0, bytearray(len(text) + 1), -1
-        choice = len(starts[0]) - 1
-        while at < len(text):
-            options = starts[at]
-            while choice >= 0:
-                token = options[choice]
-                if not dead[at + size_of[token]] and (self.whole[token] if last < 0 else self.fits[last << 32 | token]):
-                    break
-                choice -= 1
-            if choice >= 0:
-                out.append((choice, token))
+        size_of, shorter, fits, longest = self.size_of, self.shorter, self.fits, self.trie.iter_long
+        out: list[int] = []
+        at, end, last, dead = 0, len(text), -1, bytearray(len(text) + 1)
+        token = next(longest(text))[1]
+        while True:
+            while token >= 0 and (dead[at + size_of[token]] or not (self.whole[token] if last < 0 else fits[last << 32 | token])):
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
                 at, last = at + size_of[token], token
-                choice = len(starts[at]) - 1 if at < len(text) else -1
+                if at == end:
+                    return out
+                token = next(longest(text, at))[1]
                 continue
             if not out:
                 raise ValueError("the rank table lacks a single byte")
             dead[at] = 1
-            choice, token = out.pop()
+            token = out.pop()
             at -= size_of[token]
-            choice -= 1
-            last = out[-1][1] if out else -1
-        return [t for _, t in out]
+            token = shorter[token]
+            last = out[-1] if out else -1
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, each match of the pattern encoded separately, no special tokens."""

@@ -59,3 +59,20 @@ def test_table(spark):
     assert got == sorted([one, one, (None, 0, sha(b""), sha(b"")), (4, 0, sha(b""), sha(b""))], key=str)
     assert [r.ids for r in encode_table(docs, FILE, P.PATTERN).collect()] == [ids, ids, [], []]
     assert round_trip(docs.limit(0), FILE, P.PATTERN).collect() == []
+
+
+def test_neighbours_by_the_merge_rule(both):
+    ours, _ = both
+    rng = random.Random(7)
+    tokens = list(ours.bytes_of)
+    for _ in range(4000):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        assert ours._fit(a, b) == (ours._merged(ours.bytes_of[a] + ours.bytes_of[b]) == [a, b])
+    ranks = {bytes([c]): i for i, c in enumerate(b"ab")}
+    while len(ranks) < 12:
+        a, b = rng.choice(list(ranks)), rng.choice(list(ranks))
+        ranks.setdefault(a + b, len(ranks))
+    bpe = Bpe(ranks, ".+")
+    for a in bpe.bytes_of:
+        for b in bpe.bytes_of:
+            assert bpe._fit(a, b) == (bpe._merged(bpe.bytes_of[a] + bpe.bytes_of[b]) == [a, b])
