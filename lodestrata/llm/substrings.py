@@ -30,6 +30,8 @@ from lodestrata.llm.shared import parallelism, pieces, written
 WINDOW = 20
 PHRASE = 5
 ROWS_PER_SHARD = 100_000
+#: Rows of one anchor in a slice of texts from which it counts as common.
+COMMON = 16
 _MEMO = 300_000
 _LAST = (1 << 63) - 1
 #: Bits of a position beside a hash; longer texts take a slower way to the same result.
@@ -115,12 +117,16 @@ def _batches(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
 
 
 def _find_anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(h, th, doc, pos): every anchor of every text of at least ``window`` words."""
+    """(h, th, doc, pos, known): every anchor of every text of at least ``window`` words, pre-aggregated slice by slice.
+
+    Of the copies of a text in a slice only the smallest id is sent.  An anchor that a slice shows to be common is known to
+    recur: two of its texts are sent by hash, so that it meets the rest, and its other rows go anywhere (``known``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "th", "doc", "pos"]
+        names = ["h", "th", "doc", "pos", "known"]
         for b in pieces(batches):
-            doc, th = np.asarray(b.column(0)), np.asarray(b.column(1))
+            docs_, ths = np.asarray(b.column(0)), np.asarray(b.column(1))
             hs, at, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
                 h, pos = anchors(text or b"", window, phrase)
@@ -129,10 +135,26 @@ def _find_anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                     hs.append(h[pos])
                     at.append(pos)
                     own.append(np.full(len(pos), i))
-            own = np.concatenate(own)
-            yield _batches([np.concatenate(hs).view(np.int64), th[own], doc[own], np.concatenate(at).astype(np.int32)], names)
-
-    return docs.select("doc", "th", "text").mapInArrow(run, "h long, th long, doc long, pos int")
+            h, pos, own = np.concatenate(hs).view(np.int64), np.concatenate(at), np.concatenate(own)
+            doc, th = docs_[own], ths[own]
+            if len(h):
+                o = np.lexsort((pos, doc, th, h))
+                h, th, doc, pos = h[o], th[o], doc[o], pos[o]
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (th[1:] != th[:-1])))
+                keep = doc == doc[new][new.cumsum() - 1]
+                h, th, doc, pos = h[keep], th[keep], doc[keep], pos[keep]
+            known = np.zeros(len(h), bool)
+            if len(h):
+                starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                size = np.diff(np.concatenate((starts, [len(h)])))
+                last = starts + size - 1
+                common = (size >= COMMON) & (th[starts] != th[last])
+                known = np.repeat(common, size)
+                known[starts] = known[last] = False
+            key = np.where(known, (h.view(np.uint64) ^ (doc.view(np.uint64) * _BASE)).view(np.int64), h)
+            yield _batches([key, th, doc, pos.astype(np.int32), known], names)
+
+    return docs.select("doc", "th", "text").mapInArrow(run, "h long, th long, doc long, pos int, known boolean")
 
 
 def _recurring(found: DataFrame) -> DataFrame:
@@ -145,7 +167,12 @@ def _recurring(found: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.column_stack([np.asarray(b.column(i)).astype(np.int64) for i in range(4)])
+            rows = np.column_stack([np.asarray(b.column(i).to_numpy(zero_copy_only=False)).astype(np.int64) for i in range(5)])
+            known, rows = rows[rows[:, 4] == 1], rows[rows[:, 4] == 0, :4]
+            if len(known):
+                yield _batches([known[:, 2], known[:, 1], known[:, 3].astype(np.int32)], ["doc", "th", "pos"])
+            if not len(rows):
+                continue
             new = np.concatenate(([run_key is None or tuple(rows[0, :2]) != run_key], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
             run_id = new.cumsum() - new[0]
             firsts = rows[new, 2] if new[0] else np.concatenate(([run_doc], rows[new, 2]))

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from lodestrata.llm import substrings
 from lodestrata.llm.substrings import remove_repeats
 
 
@@ -39,8 +40,9 @@ def corpus(seed):
     return rows + [rows[3], rows[3], (None, texts[0]), (None, shared[1])][: 2 + 1]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,common", [(1, 16), (2, 2), (3, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, common):
+    monkeypatch.setattr(substrings, "COMMON", common)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, h int, kind string").repartition(3)
     assert sorted(map(tuple, remove_repeats(df).collect()), key=str) == brute(rows)
