@@ -423,7 +423,7 @@ def invalidation_decision(f):
 
 @query(
     "debounce_sessions",
-    """select user_id, sid, count(*) as n, min(ts) as start from (select user_id, ts, sum(brk) over (partition by user_id order by ts, event_id) as sid from (
+    """select user_id, sid, count(*) as n, min(ts) as start from (select user_id, ts, cast(sum(brk) over (partition by user_id order by ts, event_id) as bigint) as sid from (
         select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval '30' minute then 0 else 1 end as brk from events)) group by 1, 2""",
 )
 def debounce_sessions(f):
@@ -433,7 +433,7 @@ def debounce_sessions(f):
 
 @query(
     "session_windows",
-    """select user_id, min(ts) as start, count(*) as n from (select user_id, ts, sum(brk) over (partition by user_id order by ts, event_id) as sid from (
+    """select user_id, min(ts) as start, count(*) as n from (select user_id, ts, cast(sum(brk) over (partition by user_id order by ts, event_id) as bigint) as sid from (
         select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '30' minute then 0 else 1 end as brk from events)) group by user_id, sid""",
 )
 def session_windows(f):
