@@ -158,6 +158,10 @@ def parse(facts) -> None:
     names: dict[str, list[str]] = {}
     declared_at: set[int] = set()
 
+    implementing: list[tuple[Token, Token]] = []
+    if facts.language == "rust":
+        _impl_blocks(facts, ts, pairs, owner, implementing)
+
     def around(at: int):
         held = [o for o in owner if o[0] <= at < o[1]]
         return max(held, key=lambda o: o[0], default=None)
@@ -231,6 +235,14 @@ def parse(facts) -> None:
         declared_at.add(name.start)
         i = k + 1
 
+    known = {d["symbolId"] for d in facts.declarations}
+    for d in facts.declarations:  # an impl block of a type that is declared elsewhere holds nothing here
+        if d["containerId"] not in known:
+            d["containerId"] = None
+    owner = [o for o in owner if o[2] in known]
+    for trait, own in implementing:
+        mine, theirs = (names.get(t.text, []) for t in (own, trait))
+        facts.refer(trait.text, "implements", trait.start, trait.end, theirs[0] if len(theirs) == 1 else None, mine[0] if len(mine) == 1 else None)
     _imports(facts, lang)
     taken = [(x["startLine"], x["startChar"]) for x in facts.imports]
     for i, t in enumerate(ts):
@@ -249,6 +261,34 @@ def parse(facts) -> None:
             _reference(facts, ts, i, names, origin)
 
 
+def _impl_blocks(facts, ts: list[Token], pairs: dict[int, int], owner: list, implementing: list) -> None:
+    """Rust: members of ``impl T`` and ``impl Trait for T`` belong to T."""
+    for i, t in enumerate(ts):
+        if t.kind != "word" or t.text != "impl":
+            continue
+        j, depth, words, after_for = i + 1, 0, [], None
+        while j < len(ts) and not (ts[j].text == "{" and depth == 0) and ts[j].text != ";":
+            depth += (ts[j].text == "<") - (ts[j].text == ">" and ts[j - 1].text != "-")
+            if ts[j].kind == "word" and depth == 0:
+                if ts[j].text == "where":
+                    depth = 0
+                    while j < len(ts) and ts[j].text != "{":
+                        j += 1
+                    break
+                if ts[j].text == "for":
+                    after_for = len(words)
+                else:
+                    words.append(ts[j])
+            j += 1
+        if j >= len(ts) or j not in pairs or not words:
+            continue
+        own = words[-1]
+        if after_for:
+            implementing.append((words[after_for - 1], own))
+        path = (Descriptor("type", own.text),)
+        owner.append((t.start, ts[pairs[j]].end, facts.symbol(*path), path, "struct"))
+
+
 def _depth_ok(ts, pairs, i, outer) -> bool:
     """Directly in the class body, not in one of its methods."""
     depth = 0

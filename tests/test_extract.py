@@ -65,6 +65,12 @@ def test_code(module):
     assert parse_file(module, text + "\n/* open" if module != "a.gd" else "var s = 'open").error
 
 
+def test_rust_impls():
+    f = parse_file("a.rs", "struct S<T> { x: T }\ntrait Go { fn go(&self); }\nimpl<T: Copy> Go for S<T> where T: Eq { fn go(&self) { helper(); } }\nimpl Other { fn f() {} }\nfn helper() {}\n")
+    assert [(i, d["containerId"] and d["containerId"].split(" ")[-1]) for (i, _), d in zip(names(f), f.declarations)] == [("S#", None), ("Go#", None), ("Go#go().", "Go#"), ("S#go().", "S#"), ("Other#f().", None), ("helper().", None)]
+    assert [(r["name"], r["targetId"].split(" ")[-1], r["fromId"].split(" ")[-1]) for r in f.references if r["role"] == "implements"] == [("Go", "Go#", "S#")]
+
+
 def test_attachment():
     text = "# lead a\n# lead b\ndef f(): pass  # trail\n\n# far\n\ndef g():\n    # inside\n    return 1\n"
     f = parse_file("m.py", text)
