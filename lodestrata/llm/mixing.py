@@ -28,7 +28,7 @@ BLOCK = 1024
 SLOTS = 1 << 17
 #: Sources are one row each on the driver; more than this many is refused, not cut.
 MAX_SOURCES = 200_000
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 CHUNK = 1 << 16
 #: floor(2^64 / golden ratio), odd.
 _GOLDEN = 0x9E3779B97F4A7C15
