@@ -12,12 +12,14 @@ members, never all pairs), and a cell of more than ``BLOCK`` fingerprints is spl
 groups.
 
 ``simhash_groups`` links whole-text fingerprints.  ``near_duplicates`` finds near copies by shingle similarity: a document
-also gets fingerprints of ``VIEWS`` short passages that start at its min-wise shingles, so near copies share some passage
-fingerprint almost surely; documents that do are compared by size, by whole-text fingerprint and then exactly.
+gets fingerprints of ``VIEWS`` short passages that start at its min-wise shingles, so near copies share some passage
+fingerprint almost surely.  Most passages of a short text run to its end, so texts of at most ``SHORT`` shingles meet by an
+exact prefix filter instead.  Documents that share a key are compared by size, by whole-text fingerprint and then exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -209,6 +211,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col:
 VIEWS = 6
 #: Shingles of a passage that a view fingerprints.
 VIEW_SHINGLES = 8
+#: Texts of at most this many distinct shingles are compared with every text that shares a shingle of the prefix filter.
+SHORT = 64
 #: Whole-text fingerprints of documents that are similar enough differ in at most this many bits but for one pair in
 #: thousands (0.8 similarity: 9.7 bits in the mean); unrelated ones in 32.
 FAR_BITS = 24
@@ -227,37 +231,47 @@ def view_fingerprints(h: np.ndarray) -> list[int]:
     return np.unique(np.packbits(ones, axis=1, bitorder="little").view("<i8")).tolist()
 
 
+def prefix(s: np.ndarray, similarity: float) -> np.ndarray:
+    """The least members of the sorted set ``s`` of which two sets of at least this Jaccard similarity share one."""
+    return s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, component_id) for each row: near-copy classes by Jaccard similarity of the sets of word shingles.
 
-    th is xxhash64 of the text.  Every link found has at least ``similarity`` (sets of 32-bit shingle hashes); a pair at
-    exactly 0.8 is a candidate with probability over 0.99, closer ones more.  Texts with the same lower-cased words always
+    th is xxhash64 of the text.  Every link found has at least ``similarity`` (sets of 32-bit shingle hashes).  Every pair
+    with a text of at most ``SHORT`` shingles is a candidate; a pair of longer ones at exactly 0.8 is one with probability
+    over 0.99, closer ones more.  Texts with the same lower-cased words always
     share a class, wordless and null texts theirs.  Repeated rows give repeated rows; an empty table gives none.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), text.alias("text"))
+    longest = int(SHORT / similarity + 1e-9)  # a longer text is not similar enough to a short one
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            keys, fps, views, sets = [], [], [], []
+            keys, fps, views, heads, sets = [], [], [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 h, joined = shingle_hashes(t, shingle)
                 keys.append(xxhash.xxh3_128_hexdigest(joined))
                 fps.append(_majority(h))
-                views.append(view_fingerprints(h))
-                sets.append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
+                s = np.unique((h >> np.uint64(32)).astype("<u4"))
+                views.append(view_fingerprints(h) if len(s) > SHORT or not len(s) else [])
+                heads.append(prefix(s, similarity).astype(np.int64) if len(s) <= longest else [])
+                sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(views, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                names=["doc_id", "th", "key", "fp", "views", "sh"],
+                [b.column(0), b.column(1), pa.array(keys), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(views, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                names=["doc_id", "th", "key", "fp", "views", "heads", "sh"],
             )
 
-    known = written(rows.mapInArrow(features, "doc_id long, th long, key string, fp long, views array<long>, sh binary"), "features")
+    known = written(rows.mapInArrow(features, "doc_id long, th long, key string, fp long, views array<long>, heads array<long>, sh binary"), "features")
     firsts = written(
-        known.groupBy("key").agg(F.min("doc_id").alias("first"), F.min_by("views", "doc_id").alias("views")).withColumn("rid", F.monotonically_increasing_id()), "firsts"
+        known.groupBy("key").agg(F.min("doc_id").alias("first"), F.min_by("views", "doc_id").alias("views"), F.first("heads").alias("heads")).withColumn("rid", F.monotonically_increasing_id()), "firsts"
     )
     shown = firsts.select("rid", "key", F.explode(F.coalesce("views", F.array(F.lit(0).cast("long")))).alias("fp"))
     linked = connected_components(near_links(shown.select("fp").distinct(), distance=1)).toDF("fp", "rep")
-    grouped = shown.join(linked, "fp", "left").select("rid", "key", F.coalesce("rep", "fp").alias("g")).distinct()
+    shared = firsts.select("rid", "key", F.explode("heads").alias("g"))
+    grouped = shown.join(linked, "fp", "left").select("rid", "key", F.coalesce("rep", "fp").alias("g")).union(shared).distinct()
     sizes = grouped.groupBy("g").count().filter("count > 1")
     crowd = written(
         grouped.join(sizes, "g").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int"))

@@ -113,3 +113,23 @@ def test_near_duplicates(spark, monkeypatch):
         assert all(own[x] >= min(next(c for c in want if x in c)) for x in own)  # nothing is linked below 0.8
         assert sum(own[i] == own[j] for i, j in sure) >= 0.99 * len(sure)
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_near_duplicates(spark):
+    """Edits at the ends of texts of 9 to 20 words, and of some just below and above the size of short ones."""
+    import lodestrata.llm.simhash as s
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for n in [*range(9, 21)] * 12 + [66, 68] * 6:
+        base = [word() for _ in range(n)]
+        more = max(1, (n - 4) // 4)
+        texts += [" ".join(base), " ".join([*base, word()]), " ".join([*base[:-1], word()]), " ".join([word(), *base]), " ".join(base + [word() for _ in range(more)])]
+    sets = [shingles(t) for t in texts]
+    jac = lambda a, b: len(a & b) / len(a | b)
+    sure = [(i, j) for i in range(len(texts)) for j in range(i) if jac(sets[i], sets[j]) >= 0.8]
+    assert len(sure) > 300
+    want = {x: min(c) for c in classes(sure, range(len(texts))) for x in c}
+    got = s.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
