@@ -1,10 +1,12 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-Targets are exact (integers until the last division).  The mix is a sequence of slots of ``block`` words each.  Slot n is
-the point frac((n + 1/2) / golden ratio), in 64-bit integers, mapped through the cumulative targets to a source; any
-prefix of the sequence therefore holds each source within a few slots of its share.  A slot's rank among its source's
-slots is the block it takes: the source's documents are laid end to end in a seeded shuffle, the line repeats as often as
-the target asks, and is cut into equal blocks.  Slots and blocks are joined by (source, rank).
+Targets are exact (integers until the last division); a source takes its target to the word, rounded so that all together
+take the total.  The mix is a sequence of slots of ``block`` words each, a source's last one of what is left of its words.
+Slot n is the point n * F(m - 1) mod F(m) of the golden-ratio lattice (Fibonacci numbers, F(m) the least that is enough),
+mapped through the sources' cumulative counts of slots; points beyond these are left out.  The lattice meets each point
+once, so every source gets its count, and any prefix of the sequence holds each source within a few slots of its share.  A
+slot's rank among its source's slots is the block it takes: the source's documents are laid end to end in a seeded shuffle,
+the line repeats as often as the target asks, and is cut into blocks.  Slots and blocks are joined by (source, rank).
 
 Scale: one source may hold any share of the rows.  The place of a document in its source's line is a prefix sum over hash
 buckets of bounded size and then inside a bucket; a slot's rank likewise over chunks of slots.  No window covers a source.
@@ -12,6 +14,7 @@ buckets of bounded size and then inside a bucket; a slot's rank likewise over ch
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -30,8 +33,6 @@ SLOTS = 1 << 17
 MAX_SOURCES = 200_000
 ROWS_PER_BUCKET = 1024
 CHUNK = 1 << 16
-#: floor(2^64 / golden ratio), odd.
-_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def fill_targets(sizes: list[int], weights: list[int], total: int, cap: int = CAP) -> list[Fraction]:
@@ -49,6 +50,16 @@ def fill_targets(sizes: list[int], weights: list[int], total: int, cap: int = CA
     return [out[j] for j in range(len(sizes))]
 
 
+def whole_words(targets: list[Fraction]) -> list[int]:
+    """Integers, each less than one from its target and with the same sum, where that is an integer."""
+    out, done, sum_ = [], 0, Fraction(0)
+    for t in targets:
+        sum_ += t
+        out.append(math.floor(sum_) - done)
+        done += out[-1]
+    return out
+
+
 def _lines(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
     """(doc_id, source, size, th, h): what the plan needs of each row; th digests the text, h is the shuffle key."""
     return docs.select(
@@ -59,17 +70,24 @@ def _lines(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: i
     ).withColumn("h", F.xxhash64("doc_id", "th", F.lit(seed)))
 
 
-def schedule(ends: np.ndarray, slots: int, docs: DataFrame) -> DataFrame:
-    """(slot, no, rank): ``ends`` are the cumulative targets scaled to 2^64 - 1."""
+def schedule(counts: list[int], docs: DataFrame) -> DataFrame:
+    """(slot, no, rank): source ``no`` has ``counts[no]`` slots, spread evenly."""
+    ends = np.cumsum(np.array(counts, np.int64))
+    slots = int(ends[-1]) if counts else 0
+    step, size = 1, 1
+    while size < slots:
+        step, size = size, step + size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.asarray(b.column(0)).astype(np.uint64)
-            point = n * np.uint64(_GOLDEN) + np.uint64(_GOLDEN >> 1)
-            no = np.minimum(np.searchsorted(ends, point, side="left"), len(ends) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(no.astype(np.int32))], names=["slot", "no"])
-
-    dealt = docs.sparkSession.range(slots).toDF("slot").mapInArrow(run, "slot long, no int").withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+            n = np.asarray(b.column(0))
+            first = int(n[0]) if len(n) else 0  # a batch is a short range: no product below leaves 64 bits
+            point = (first * step % size + (n - first) * step % size) % size
+            own = np.flatnonzero(point < slots)
+            no = np.searchsorted(ends, point[own], side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(n[own]), pa.array(no.astype(np.int32))], names=["slot", "no"])
+
+    dealt = docs.sparkSession.range(size if slots else 0).toDF("slot").mapInArrow(run, "slot long, no int").withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     before = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("no", "chunk").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1
@@ -95,11 +113,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     total = sum(sizes)
     targets = fill_targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))], total)
     block = max(1, min(BLOCK, total // SLOTS))
-    slots = -(-total // block)
-    sums = np.cumsum(np.array([float(t) for t in targets])) if targets else np.zeros(1)
-    ends = np.array([min((1 << 64) - 1, int(x / max(sums[-1], 1.0) * (1 << 64))) for x in sums], np.uint64)
+    words = whole_words(targets)
     info = spark.createDataFrame(
-        [(i, r.source, r.s, float(t)) for i, (r, t) in enumerate(zip(found, targets))], "no int, source string, source_size long, target double"
+        [(i, r.source, r.s, float(t), n) for i, (r, t, n) in enumerate(zip(found, targets, words))],
+        "no int, source string, source_size long, target double, words long",
     )
     known = rows.join(F.broadcast(info), rows["source"].eqNullSafe(info["source"])).drop(info["source"])
 
@@ -110,14 +127,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     base = sized.groupBy("no", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = Window.partitionBy("no", "bucket").orderBy("h", "doc_id", "size", "th", "uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(base, ["no", "bucket"])
-    placed = placed.select("uid", "no", "size", "source_size", (F.col("base") + F.col("inside")).alias("at"))
+    placed = placed.select("uid", "no", "size", "source_size", "words", (F.col("base") + F.col("inside")).alias("at"))
 
-    plan = written(schedule(ends, slots, docs), "schedule")
-    used = plan.groupBy("no").agg(F.least(F.count("*") * block, F.lit(1 << 62)).alias("words"))
+    plan = written(schedule([-(-n // block) for n in words], docs), "schedule")
     line = (
-        placed.join(F.broadcast(used), "no")
-        .withColumn("words", F.least("words", CAP * F.col("source_size")))
-        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(CAP - 1))))
+        placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(CAP - 1))))
         .withColumn("from", F.col("turn") * F.col("source_size") + F.col("at"))
         .withColumn("to", F.least(F.col("from") + F.col("size"), F.col("words")))
         .filter("from < to")

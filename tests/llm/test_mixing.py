@@ -90,3 +90,33 @@ def test_fills_and_documents(spark):
 def test_empty(spark):
     assert mixture_report(spark.createDataFrame([], SCHEMA)).collect() == []
     assert mixture_report(spark.createDataFrame([(1, None, "", None, 0.0, 0)], SCHEMA).select("doc_id", "source", "text")).collect()[0].taken == 0
+
+
+def test_small_sources(spark, monkeypatch):
+    """Sources below a block, a one-document source among them, take their targets to the word."""
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 200))), "en", "hot", 1.0, 1) for i in range(400)]
+    sizes = [7, 20, 100, 300, 500, 1000]
+    for i in range(24):
+        n = sizes[i % 6]
+        rows += [(1000 + 10 * i + j, " ".join("v" for _ in range(n // 2 if i % 2 else n)), "en", f"s{i:02}", 1.0, 1) for j in range(1 + i % 2)]
+    block = sum(len(r[1].split()) for r in rows) // 64
+    assert 300 < block < mixing.BLOCK
+    of, target, taken = {r[0]: r[3] for r in rows}, {}, defaultdict(int)
+    for r in mixture_report(spark.createDataFrame(rows, SCHEMA)).collect():
+        target[of[r.doc_id]] = r.target
+        taken[of[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - target[s]) < 1 for s in target)
+    assert sum(taken.values()) == sum(len(r[1].split()) for r in rows)
+
+
+def test_schedule_spreads_sources(spark):
+    counts = [500, 0, 1, 300, 3, 196]
+    got = sorted((r.slot, r.no, r["rank"]) for r in mixing.schedule(counts, spark.range(1)).collect())
+    seen = [0] * len(counts)
+    for n, (_, no, rank) in enumerate(got, 1):
+        assert rank == seen[no]
+        seen[no] += 1
+        assert all(abs(s - c * n / 1000) < 4 for s, c in zip(seen, counts))
+    assert seen == counts
