@@ -14,7 +14,8 @@ groups.
 ``simhash_groups`` links whole-text fingerprints.  ``near_duplicates`` finds near copies by shingle similarity: a document
 gets fingerprints of ``VIEWS`` short passages that start at its min-wise shingles, so near copies share some passage
 fingerprint almost surely.  Most passages of a short text run to its end, so texts of at most ``SHORT`` shingles meet by an
-exact prefix filter instead.  Documents that share a key are compared by size, by whole-text fingerprint and then exactly.
+exact prefix filter instead.  Documents that share a key are compared by size, by parity sketches of their shingle sets,
+which bound the similarity from above, and then exactly.
 """
 
 from __future__ import annotations
@@ -213,9 +214,8 @@ VIEWS = 6
 VIEW_SHINGLES = 8
 #: Texts of at most this many distinct shingles are compared with every text that shares a shingle of the prefix filter.
 SHORT = 64
-#: Whole-text fingerprints of documents that are similar enough differ in at most this many bits but for one pair in
-#: thousands (0.8 similarity: 9.7 bits in the mean); unrelated ones in 32.
-FAR_BITS = 24
+#: Bits of a parity sketch.
+SKETCH = 1024
 _MIX = np.random.default_rng(23).integers(1 << 62, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -236,6 +236,11 @@ def prefix(s: np.ndarray, similarity: float) -> np.ndarray:
     return s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """For each residue modulo ``SKETCH``, the parity of its members in the set: no more bits differ than members do."""
+    return np.packbits((np.bincount(s & np.uint32(SKETCH - 1), minlength=SKETCH) & 1).astype(bool)).view("<u8")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, component_id) for each row: near-copy classes by Jaccard similarity of the sets of word shingles.
 
@@ -250,21 +255,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            keys, fps, views, heads, sets = [], [], [], [], []
+            keys, views, heads, sets = [], [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 h, joined = shingle_hashes(t, shingle)
                 keys.append(xxhash.xxh3_128_hexdigest(joined))
-                fps.append(_majority(h))
                 s = np.unique((h >> np.uint64(32)).astype("<u4"))
                 views.append(view_fingerprints(h) if len(s) > SHORT or not len(s) else [])
                 heads.append(prefix(s, similarity).astype(np.int64) if len(s) <= longest else [])
                 sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(views, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                names=["doc_id", "th", "key", "fp", "views", "heads", "sh"],
+                [b.column(0), b.column(1), pa.array(keys), pa.array(views, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                names=["doc_id", "th", "key", "views", "heads", "sh"],
             )
 
-    known = written(rows.mapInArrow(features, "doc_id long, th long, key string, fp long, views array<long>, heads array<long>, sh binary"), "features")
+    known = written(rows.mapInArrow(features, "doc_id long, th long, key string, views array<long>, heads array<long>, sh binary"), "features")
     firsts = written(
         known.groupBy("key").agg(F.min("doc_id").alias("first"), F.min_by("views", "doc_id").alias("views"), F.first("heads").alias("heads")).withColumn("rid", F.monotonically_increasing_id()), "firsts"
     )
@@ -280,24 +284,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         .select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rid", "key"),
         "crowd",
     )
-    one = known.select("key", "fp", "sh").join(crowd.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("fp").alias("fp"), F.first("sh").alias("sh"))
+    one = known.select("key", "sh").join(crowd.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("sh").alias("sh"))
     keys = ["g", "lo", "hi"]
-    dealt = crowd.join(one, "key").select(*keys, "rid", "fp", "sh")
+    dealt = crowd.join(one, "key").select(*keys, "rid", "sh")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
         def links() -> tuple[list, list]:
-            rid, fp = np.array([r[3] for r in held]), np.array([r[4] for r in held], np.int64).view(np.uint64)
-            sets = [np.frombuffer(r[5], "<u4") for r in held]
-            size = np.array([len(x) for x in sets])
+            rid, sets = np.array([r[3] for r in held]), [np.frombuffer(r[4], "<u4") for r in held]
+            size, bits = np.array([len(x) for x in sets]), np.array([sketch(x) for x in sets])
             left, a, b = np.arange(len(rid)), [], []
             while len(left) > 1:
                 queue, left = [left[0]], left[1:]
                 while queue and len(left):
                     at = queue.pop()
                     small, big = np.minimum(size[left], size[at]), np.maximum(size[left], size[at])
-                    maybe = np.flatnonzero((small >= similarity * big - 1e-9) & (np.bitwise_count(fp[left] ^ fp[at]) <= FAR_BITS))
+                    maybe = np.flatnonzero(small >= similarity * big - 1e-9)
+                    apart = np.bitwise_count(bits[left[maybe]] ^ bits[at]).sum(axis=1, dtype=np.int64)
+                    maybe = maybe[apart <= (1 - similarity) / (1 + similarity) * (size[left[maybe]] + size[at]) + 1e-6]
                     hit = []
                     for i in maybe:
                         both = len(np.intersect1d(sets[at], sets[left[i]], assume_unique=True))
@@ -316,7 +321,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
         for rows_ in batches:
             a, b = [], []
-            for r in zip(*(rows_.column(i).to_pylist() for i in range(6))):
+            for r in zip(*(rows_.column(i).to_pylist() for i in range(5))):
                 if r[:3] != group:
                     x, y = links()
                     a += x

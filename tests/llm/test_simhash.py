@@ -133,3 +133,16 @@ def test_short_near_duplicates(spark):
     want = {x: min(c) for c in classes(sure, range(len(texts))) for x in c}
     got = s.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_recurring_lines_do_not_part_near_copies(spark):
+    import lodestrata.llm.simhash as s
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        body, line = " ".join(word() for _ in range(200)), " ".join(word() for _ in range(3))
+        texts += [body + f" {line}" * 3, body + f" {line}" * 200]
+    got = s.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(len(texts))}
