@@ -270,9 +270,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     known = written(rows.mapInArrow(features, "doc_id long, th long, key string, views array<long>, heads array<long>, sh binary"), "features")
     firsts = written(
-        known.groupBy("key").agg(F.min("doc_id").alias("first"), F.min_by("views", "doc_id").alias("views"), F.first("heads").alias("heads")).withColumn("rid", F.monotonically_increasing_id()), "firsts"
+        known.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("views").alias("views"), F.first("heads").alias("heads")).withColumn("rid", F.monotonically_increasing_id()), "firsts"
     )
-    shown = firsts.select("rid", "key", F.explode(F.coalesce("views", F.array(F.lit(0).cast("long")))).alias("fp"))
+    shown = firsts.select("rid", "key", F.explode("views").alias("fp"))
     linked = connected_components(near_links(shown.select("fp").distinct(), distance=1)).toDF("fp", "rep")
     shared = firsts.select("rid", "key", F.explode("heads").alias("g"))
     grouped = shown.join(linked, "fp", "left").select("rid", "key", F.coalesce("rep", "fp").alias("g")).union(shared).distinct()

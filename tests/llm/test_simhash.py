@@ -146,3 +146,15 @@ def test_recurring_lines_do_not_part_near_copies(spark):
         texts += [body + f" {line}" * 3, body + f" {line}" * 200]
     got = s.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_near_copies_of_texts_without_id(spark):
+    import lodestrata.llm.simhash as s
+
+    rng = random.Random(13)
+    rows = []
+    for i in range(12):
+        base = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150))
+        rows += [(None, base), (i, base + " end")]
+    got = s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.component_id for r in got) == sorted([*range(12)] * 2)
