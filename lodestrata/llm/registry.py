@@ -61,11 +61,12 @@ def op3(spark, sf_dir):
 
 @query(
     "op4_mtree_top_k",
-    """with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
-        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-       s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
-        from e q join e c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
-       r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    """with t as (select *, row_number() over () as u from embeddings),
+       e as (select u, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from t
+        where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+       s as (select q.u, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+        from e q join e c on q.vec_id % 20 = 0 and q.u <> c.u),
+       r as (select *, row_number() over (partition by u order by score desc, vec_id) as rank from s)
        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
 )
 def op4(spark, sf_dir):

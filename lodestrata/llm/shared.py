@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: ASCII white space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits on exactly these bytes.
@@ -16,22 +17,25 @@ LOCAL_SHARED = f"/tmp/checkpoints/lodestrata-{os.getuid()}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{LOCAL_SHARED}").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one where that is unset on one machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or f"file://{LOCAL_SHARED}").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lodestrata-{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, read again.
 
     A lost executor then costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestrata_path = path
     return out
@@ -45,6 +49,38 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+class SharedFile:
+    """A file of the shared folder that appears under its name only when it is whole."""
+
+    def __init__(self, folder: str, name: str):
+        self.fs, root = filesystem(folder)
+        self.fs.create_dir(root)
+        self.at, self.tmp, self.size = f"{root}/{name}", f"{root}/.{name}.{uuid.uuid4().hex}", 0
+        self.f = self.fs.open_output_stream(self.tmp)
+
+    def write(self, data: bytes) -> tuple[int, int]:
+        """(offset, length) of ``data`` in the file."""
+        self.f.write(data)
+        self.size += len(data)
+        return self.size - len(data), len(data)
+
+    def close(self) -> None:
+        self.f.close()
+        self.fs.move(self.tmp, self.at)
+
+
+def read_shared(folder: str, name: str) -> bytes:
+    at, root = filesystem(folder)
+    with at.open_input_file(f"{root}/{name}") as f:
+        return f.read()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that a worker's Python copies of long texts stay small whatever the batch size."""
     for b in batches:
@@ -72,6 +108,23 @@ def with_text_columns(docs: DataFrame, text_col: str, fn: Callable[[list], list[
     return out.select(*order, *[c for c in new.names if c not in order])
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` doesn't have, one for each stem."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame) -> F.Column:
+    """xxhash64 of a whole row, so that rows that differ in any column can be told apart; nulls count."""
+    cols = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(*(x for c in cols for x in (c, c.isNull())))
+
+
 def parallelism(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

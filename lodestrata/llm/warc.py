@@ -25,10 +25,9 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm.shared import fresh_path, parallelism, written
+from lodestrata.llm.shared import SharedFile, filesystem, fresh_path, parallelism, written
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 3000
@@ -40,12 +39,6 @@ _DATE = "1970-01-01T00:00:00Z"
 _CRLF = b"\r\n"
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:") :]
-    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 def surt(url: str | None) -> str:
     """Reversed-host key: ``https://www.a.example:80/B?c`` -> ``example,a,www)/B?c``; scheme, port, user, fragment go.
 
@@ -102,25 +95,6 @@ def _id_of(name: str | None) -> int | None:
     return None if name is None or name.endswith(":none>") else int(name[len("<urn:capture:") : -1])
 
 
-class _Out:
-    """A file of the shared folder that appears under its name only when it is whole."""
-
-    def __init__(self, folder: str, name: str):
-        self.fs, root = _filesystem(folder)
-        self.fs.create_dir(root)
-        self.at, self.tmp, self.size = f"{root}/{name}", f"{root}/.{name}.{uuid.uuid4().hex}", 0
-        self.f = self.fs.open_output_stream(self.tmp)
-
-    def write(self, data: bytes) -> tuple[int, int]:
-        self.f.write(data)
-        self.size += len(data)
-        return self.size - len(data), len(data)
-
-    def close(self) -> None:
-        self.f.close()
-        self.fs.move(self.tmp, self.at)
-
-
 def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """(page_id, url, body, digest, refers_to): refers_to is null for a response, else the response's page_id.
 
@@ -148,7 +122,7 @@ def write_archives(decided: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = out or _Out(folder, name)
+            out = out or SharedFile(folder, name)
             keys, offsets, lengths = [], [], []
             for i, url, body, digest, ref in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 at, n = out.write(record(i, url, body.encode(), digest, ref, ref is not None))
@@ -189,7 +163,7 @@ class CaptureIndex:
 
             def flush():
                 nonlocal out
-                out = out or _Out(f"{folder}/index", name)
+                out = out or SharedFile(f"{folder}/index", name)
                 places.append((lines[0].rsplit(" ", 3)[0], name, *out.write(zlib.compress("\n".join(lines).encode(), 6))))
                 lines.clear()
 
@@ -213,7 +187,7 @@ class CaptureIndex:
 
     def _file(self, name: str):
         if name not in self._open:
-            at, root = _filesystem(self.folder)
+            at, root = filesystem(self.folder)
             if len(self._open) > 64:
                 self._open.clear()
             self._open[name] = at.open_input_file(f"{root}/{name}")
