@@ -6,26 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lodestrata.operators.ingest import coalesce, decide
 
 
-def read_feed(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, schema: str | StructType, per_trigger: int = 100) -> DataFrame:
     """Event files (module, kind, contentHash, seq, …) as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def apply_feed(feed: DataFrame, files: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str, seq: str = "seq", available_now: bool = True) -> StreamingQuery:
+def apply_feed(feed: DataFrame, files: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str, seq: str = "seq", available_now: bool = True, lake=None) -> StreamingQuery:
     """Each micro-batch is coalesced, decided against the files held now, and applied; batches are serial.
 
-    ``apply(decisions, batch_id)`` must do nothing new for a batch id it has seen: a batch may come again after a failure.
+    A batch may come again after a failure; with ``lake``, whose ``meta`` then names the last batch of this feed that was
+    applied, it is passed over, else ``apply(decisions, batch_id)`` must do nothing new for a batch id it has seen.
     """
 
+    name = f"feed {checkpoint}"
+
     def one(batch: DataFrame, batch_id: int) -> None:
+        if lake is not None and int((lake.meta(name) or {name: -1})[name]) >= batch_id:
+            return
         decided = decide(coalesce(batch, seq), files()).filter("action <> 'ignore'")
         decided.persist()
         try:
             apply(decided, batch_id)
+            if lake is not None:
+                lake.put_meta(**{name: str(batch_id)})
         finally:
             decided.unpersist()
 

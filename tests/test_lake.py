@@ -118,3 +118,37 @@ def test_windows_over_a_stream(spark, tmp_path):
     s = feed.sessions(source(), "ts", "30 minutes", ("user",))
     s.writeStream.format("memory").queryName("q_s").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("q_s").filter("n = 2").count() == 1
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """A snapshot that somebody else publishes first is not lost: the write starts over on top of it."""
+    from lodestrata import lake as m
+
+    a, b = (m.FactLake(spark, f"file://{tmp_path}/lake", buckets=2) for _ in range(2))
+    a.put_meta(x="1")
+    publish, once = m.FactLake._publish, []
+
+    def between(self, old, manifest):
+        if not once:
+            once.append(1)
+            b.put_meta(y="2")
+        return publish(self, old, manifest)
+
+    monkeypatch.setattr(m.FactLake, "_publish", between)
+    a.put_meta(z="3")
+    assert a.meta("x", "y", "z") == {"x": "1", "y": "2", "z": "3"} and a.version() == 3
+    with pytest.raises(m.Conflict):
+        publish(a, 1, {})
+    (tmp_path / "lake/current/v=4").touch()  # a writer that died before it named its manifest
+    assert a.version() == 3 and a.put_meta(w="4") == 5 and a.meta("w") == {"w": "4"}
+
+
+def test_files_written_together(tmp_path):
+    from lodestrata.operators.refactor import write_sources
+
+    (tmp_path / "old.py").write_bytes(b"x")
+    assert write_sources(str(tmp_path), {"old.py": None, "a/b.py": b"1", "c.py": b"2"}) == ["a/b.py", "c.py", "old.py"]
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["a/b.py", "c.py"]
+    with pytest.raises(ValueError):
+        write_sources(str(tmp_path), {"c.py": b"3", "../d.py": b"4"})
+    assert (tmp_path / "c.py").read_bytes() == b"2" and len(list(tmp_path.rglob("*.tmp"))) == 0
