@@ -14,11 +14,18 @@ MAX_DEPTH = 16
 _LOCAL = "/tmp/checkpoints/lodestrata"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local one where that is unset on one machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or f"file://{_LOCAL}").rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Rows written to the session's checkpoint folder and read again."""
     spark = df.sparkSession
-    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_LOCAL}").rstrip("/")
-    path = f"{folder}/round-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,7 +50,7 @@ def unreferenced(symbols: DataFrame, refs: DataFrame) -> DataFrame:
 def fan_in_out(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """References to the symbol itself, and distinct targets of the symbol and its direct members."""
     fan_in = refs.filter("targetId is not null").groupBy(F.col("targetId").alias("symbolId")).agg(F.count("*").alias("fanIn"))
-    own = refs.filter("fromId is not null and targetId is not null").select(F.col("fromId").alias("symbolId"), "targetId")
+    own = refs.filter("fromId is not null and targetId is not null").select(F.col("fromId").alias("symbolId"), "targetId").distinct()
     lifted = own.join(symbols.filter("containerId is not null").select("symbolId", "containerId"), "symbolId").select(F.col("containerId").alias("symbolId"), "targetId")
     fan_out = own.union(lifted).groupBy("symbolId").agg(F.count_distinct("targetId").alias("fanOut"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -177,11 +184,27 @@ def modules_exposing(imports: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def subtree(symbols: DataFrame, root: str) -> DataFrame:
-    """The symbol and all below it, by the structure of the ids."""
-    from lodestrata.functions.ids import is_within
+    """The symbol and all below it.  Every descriptor ends in its own suffix, so what starts with the root's id is below it."""
+    from lodestrata.functions.ids import parse_symbol
+
+    parsed = parse_symbol(root)
+    if parsed is None:
+        return symbols.limit(0)
+    own = F.col("symbolId") == root
+    return symbols.filter(own if parsed.local is not None or not parsed.descriptors else own | F.startswith("symbolId", F.lit(root)))
+
+
+def cycle_of(edges: DataFrame, node: str | DataFrame) -> DataFrame:
+    """(node, component) of the cycle that a node lies on, with all who lie on it; no rows if it is on none."""
+    parts = kept(strong_components(edges))
+    mine = parts.filter(F.col("node") == node) if isinstance(node, str) else parts.join(F.broadcast(node.select("node").limit(1)), "node", "left_semi")
+    return parts.join(mine.select("component").distinct(), "component", "left_semi").select("node", "component")
+
 
-    within = F.udf(lambda s: s is not None and is_within(s, root), "boolean")
-    return symbols.filter(F.startswith(F.col("symbolId"), F.lit(root[: root.rfind(" ") + 1]))).filter(within("symbolId"))
+def neighbourhood(imports: DataFrame, module: str | DataFrame, limit: int = 32) -> DataFrame:
+    """(module) a module and what it imports directly, at most ``limit``, in order of name; imports has ``target``."""
+    own = imports.filter(F.col("module") == module) if isinstance(module, str) else imports.join(F.broadcast(module.select("module").limit(1)), "module", "left_semi")
+    return own.select("module").union(own.filter("target is not null").select("target")).distinct().orderBy("module").limit(limit)
 
 
 def recursive_walk(spark: SparkSession, edges: DataFrame, start: str, depth: int = MAX_DEPTH) -> DataFrame:

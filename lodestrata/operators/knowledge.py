@@ -100,13 +100,14 @@ def gaps_ranked(gaps: DataFrame, answers: DataFrame, stale: DataFrame, refs: Dat
 
 
 def gap_tree(root: str, refs: DataFrame, symbols: DataFrame, answers: DataFrame, depth: int = 8, limit: int = 500) -> DataFrame:
-    """(symbolId, depth, answered) of what ``root`` uses, directly or not, the deepest first; at most ``limit`` rows.
+    """(symbolId, depth, answered, external, total) of what ``root`` uses, directly or not, the deepest first.
 
-    Symbols at equal depth come by id: the exact post-order of a walk is a driver-side notion.  What isn't declared here is left out.
+    ``external`` counts the targets of a symbol that are declared nowhere here; ``total`` is the number of symbols before the
+    limit of rows, so a cut shows.  Symbols at equal depth come by id: the exact post-order of a walk is a driver-side notion.
     """
     own = symbols.select(F.col("symbolId").alias("node"))
-    uses = refs.filter("fromId is not null and targetId is not null").select(F.col("fromId").alias("a"), F.col("targetId").alias("b")).distinct()
-    uses = uses.join(own.toDF("b"), "b", "left_semi")
+    every = refs.filter("fromId is not null and targetId is not null").select(F.col("fromId").alias("a"), F.col("targetId").alias("b")).distinct()
+    uses = every.join(own.toDF("b"), "b", "left_semi")
     front = found = own.filter(F.col("node") == root).withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         step = front.join(uses, front["node"] == uses["a"]).select(F.col("b").alias("node")).distinct()
@@ -115,8 +116,11 @@ def gap_tree(root: str, refs: DataFrame, symbols: DataFrame, answers: DataFrame,
             break
         found = kept(found.union(front))
     held = answers.select(F.col("symbolId").alias("node"), F.lit(True).alias("answered")).distinct()
-    tree = found.join(held, "node", "left").select(F.col("node").alias("symbolId"), "depth", F.coalesce("answered", F.lit(False)).alias("answered"))
-    return tree.orderBy(F.desc("depth"), "symbolId").limit(limit)
+    outside = every.join(own.toDF("b"), "b", "left_anti").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("external"))
+    tree = found.join(held, "node", "left").join(outside, "node", "left").select(
+        F.col("node").alias("symbolId"), "depth", F.coalesce("answered", F.lit(False)).alias("answered"), F.coalesce("external", F.lit(0)).alias("external")
+    )
+    return tree.crossJoin(F.broadcast(found.agg(F.count("*").alias("total")))).orderBy(F.desc("depth"), "symbolId").limit(limit)  # one row
 
 
 def migrate_keys(rows: DataFrame, moves: DataFrame, key: str, within: list[str]) -> DataFrame:

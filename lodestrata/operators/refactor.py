@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.functions.coordinates import Coordinates, Edit, apply_edits
-from lodestrata.functions.ids import rebase
 
 
 def increases(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,9 +82,15 @@ def unbound_tally(refs: DataFrame) -> DataFrame:
 
 def id_map(symbols: DataFrame, old: str, new: str) -> DataFrame:
     """(oldKey, newKey) of a declaration and everything under it."""
-    move = F.udf(lambda s: rebase(s, old, new) if s else None, "string")
-    head = old[: old.rfind(" ") + 1]
-    return symbols.filter(F.startswith("symbolId", F.lit(head))).select(F.col("symbolId").alias("oldKey"), move("symbolId").alias("newKey")).filter("newKey is not null")
+    from lodestrata.operators.graph import subtree
+
+    below = subtree(symbols, old).select(F.col("symbolId").alias("oldKey"))
+    return below.withColumn("newKey", F.concat(F.lit(new), F.expr(f"substring(oldKey, {len(old) + 1})")))
+
+
+def new_ids(before: DataFrame, after: DataFrame, key: str = "symbolId") -> DataFrame:
+    """U4: ids that are there now and were not before."""
+    return after.select(key).distinct().join(before.select(key), key, "left_anti")
 
 
 def garbage(blobs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -98,13 +106,16 @@ def apply_to_files(files: DataFrame, edits: DataFrame) -> DataFrame:
     """
     gathered = edits.groupBy("module").agg(F.collect_list(F.struct("startLine", "startChar", "endLine", "endChar", "newText")).alias("edits"))
 
-    @F.udf("struct<text: string, problem: string>")
-    def apply(text, some):
-        if not some:
-            return text, None
-        return apply_edits(text, [Edit((e["startLine"], e["startChar"]), (e["endLine"], e["endChar"]), e["newText"]) for e in some])
+    def run(batches):
+        for b in batches:
+            done = [
+                apply_edits(text, [Edit((e["startLine"], e["startChar"]), (e["endLine"], e["endChar"]), e["newText"]) for e in some]) if some and text is not None else (text, None)
+                for text, some in zip(b.column(1).to_pylist(), b.column(2).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string())], names=["module", "text", "problem"])
 
-    return files.join(gathered, "module", "left").withColumn("_r", apply("text", "edits")).select("module", "_r.text", "_r.problem")
+    kind = files.schema["module"].dataType.simpleString()
+    return files.join(gathered, "module", "left").select("module", "text", "edits").mapInArrow(run, f"module {kind}, text string, problem string")
 
 
 def rename_edits(sites: DataFrame, new_name: str) -> DataFrame:
@@ -121,6 +132,35 @@ def source_of(text: str, start: tuple[int, int], end: tuple[int, int], held_hash
     return cut
 
 
+def write_sources(root: str, changes: dict[str, bytes | None]) -> list[str]:
+    """Write files of one checkout, None to delete: all are staged beside their places before the first is renamed."""
+    staged = []
+    try:
+        for module, content in sorted(changes.items()):
+            at = os.path.join(root, *module.split("/"))
+            if os.path.commonpath([os.path.realpath(root), os.path.realpath(at)]) != os.path.realpath(root):
+                raise ValueError(f"outside the workspace: {module}")
+            tmp = None
+            if content is not None:
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                tmp = f"{at}.{uuid.uuid4().hex}.tmp"
+                with open(tmp, "wb") as f:
+                    f.write(content)
+                    f.flush()
+                    os.fsync(f.fileno())
+            staged.append((module, at, tmp))
+        for _, at, tmp in staged:
+            if tmp is not None:
+                os.replace(tmp, at)
+            elif os.path.exists(at):
+                os.remove(at)
+    finally:
+        for *_, tmp in staged:
+            if tmp is not None and os.path.exists(tmp):
+                os.remove(tmp)
+    return [m for m, *_ in staged]
+
+
 # ---- journal -----------------------------------------------------------------------------------------------------------
 
 PHASES = ("journaled", "written", "reindexed", "finalized")

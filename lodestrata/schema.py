@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Enumerations. Fixed values.
-SYMBOL_KINDS = (
-    "file module namespace package class method property field constructor enum interface function variable constant "
-    "struct event operator typeParameter heading"
-).split()
-VISIBILITIES = "public protected private internal fileLocal local".split()
-ROLES = "call read write import export extends implements instantiate typeUse".split()
-UNKNOWN_REASONS = "NotImplemented DynamicallyTyped ExternalDependency ParseError RecursionLimit Ambiguous RuntimeConstructed NotIndexed".split()
-PROVENANCES = "bound declared inferred nameMatched asserted".split()
-DEPTHS = "full surface outline".split()
-CONTENTS = "code data document".split()
-COMMENT_FORMS = "leading trailing inline standalone".split()
-PLACEMENTS = "above after before inside".split()
-LITERAL_KINDS = "string number boolean".split()
-QUESTIONS = "describe why relate contract effects usage".split()
-FACT_KINDS = "declaration reference import literal comment doc answer doubt".split()
-BINDING_STATUSES = "bound ambiguous unbound".split()
+SYMBOL_KINDS = ("file", "module", "namespace", "package", "class", "method", "property", "field", "constructor", "enum", "interface", "function", "variable", "constant", "struct", "event", "operator", "typeParameter", "heading")
+VISIBILITIES = ("public", "protected", "private", "internal", "fileLocal", "local")
+ROLES = ("call", "read", "write", "import", "export", "extends", "implements", "instantiate", "typeUse")
+UNKNOWN_REASONS = ("NotImplemented", "DynamicallyTyped", "ExternalDependency", "ParseError", "RecursionLimit", "Ambiguous", "RuntimeConstructed", "NotIndexed")
+PROVENANCES = ("bound", "declared", "inferred", "nameMatched", "asserted")
+DEPTHS = ("full", "surface", "outline")
+CONTENTS = ("code", "data", "document")
+COMMENT_FORMS = ("leading", "trailing", "inline", "standalone")
+PLACEMENTS = ("above", "after", "before", "inside")
+LITERAL_KINDS = ("string", "number", "boolean")
+QUESTIONS = ("describe", "why", "relate", "contract", "effects", "usage")
+FACT_KINDS = ("declaration", "reference", "import", "literal", "comment", "doc", "answer", "doubt")
+BINDING_STATUSES = ("bound", "ambiguous", "unbound")
 
 SPAN = ["startLine int", "startChar int", "endLine int", "endChar int"]
 
@@ -62,9 +59,9 @@ _TABLES = {
 }
 
 #: Rewritten together whenever a module is.
-FACT_TABLES = "refs symbols imports literals comments docs notes".split()
+FACT_TABLES = ("refs", "symbols", "imports", "literals", "comments", "docs", "notes")
 #: Written by people or agents; a rebuild of the facts keeps them.
-KNOWLEDGE_TABLES = "answers gaps refactor_transactions refactor_steps refactor_blobs refactor_images refactor_issues".split()
+KNOWLEDGE_TABLES = ("answers", "gaps", "refactor_transactions", "refactor_steps", "refactor_blobs", "refactor_images", "refactor_issues")
 KEYS = {
     "meta": ["key"], "files": ["module"], "parse_failures": ["module"], "notes": ["module", "ordinal"], "symbols": ["symbolId"], "answers": ["symbolId", "question"],
     "gaps": ["symbolId", "question"], "refactor_transactions": ["id"], "refactor_steps": ["transactionId", "stepNo"], "refactor_blobs": ["hash"],

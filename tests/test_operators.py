@@ -167,4 +167,4 @@ def test_rename_plan_and_gap_tree(spark):
     assert [(r.oldKey, r.newKey) for r in plan["moves"].collect()] == [(h, "sym python m.py help().")]
     assert refactor.plan_rename(facts["symbols"], facts["refs"], facts["imports"], files, h, "h", "f")["collisions"].count() == 1
     answers = spark.createDataFrame([(h,)], "symbolId string")
-    assert list(map(tuple, knowledge.gap_tree(f, facts["refs"], facts["symbols"], answers).collect())) == [(h, 1, True), (f, 0, False)]
+    assert [(*r[:3], r.total) for r in knowledge.gap_tree(f, facts["refs"], facts["symbols"], answers).collect()] == [(h, 1, True, 2), (f, 0, False, 2)]
