@@ -671,9 +671,9 @@ def null_safe_exclusion(f):
     return read.spelled_elsewhere(rows, "x", "5").agg(F.count("*").alias("n"))
 
 
-@query("blob_gc", "select p_partkey as hash from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'A' and l_partkey is not null union select l_partkey from lineitem where l_returnflag = 'R' and l_partkey is not null)")
+@query("blob_gc", "select p_partkey as hash from part where p_partkey not in (select l_partkey from lineitem where l_linenumber = 7 and l_returnflag = 'A' and l_partkey is not null union select l_partkey from lineitem where l_linenumber = 7 and l_returnflag = 'R' and l_partkey is not null)")
 def blob_gc(f):
-    used = lambda flag: f.t("lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("hash"))
+    used = lambda flag: f.t("lineitem").filter((F.col("l_returnflag") == flag) & (F.col("l_linenumber") == 7)).select(F.col("l_partkey").alias("hash"))
     return refactor.garbage(f.t("part").select(F.col("p_partkey").alias("hash")), used("A"), used("R"))
 
 
@@ -689,7 +689,12 @@ def specifier_resolution(f):
     return ingest.resolve_specifiers(f.page_imports.select("page_id", "specifier"), known).select("page_id", "specifier", "status")
 
 
-@query("extracted_html_symbols")
+@query(
+    "extracted_html_symbols",
+    """select 'p/' || page_id || '.html' as module, cast(len(regexp_extract_all(html, '<h[1-6]\\b[^>]*>')) as integer) as declarations, cast(len(regexp_extract_all(html, '<(?:a|link)\\b[^>]*?\\bhref="')) as integer) as imports,
+        cast(len(regexp_extract_all(html, '<!--')) as integer) as comments, 0 as literals,
+        cast(len(list_filter(regexp_extract_all(html, '<(?:p|li|td|blockquote|pre|div|footer)\\b[^>]*>([^<]*)', 1), lambda x: trim(x) <> '')) as integer) as docs from pages""",
+)
 def extracted_html_symbols(f):
     """Headings, comments and links of every page by the HTML extractor."""
     from lodestrata.sources.extract import extract
@@ -697,3 +702,6 @@ def extracted_html_symbols(f):
     files = f.t("pages").select(F.concat(F.lit("p/"), F.col("page_id"), F.lit(".html")).alias("module"), F.col("html").alias("text"))
     facts = extract(files)
     return facts.select("module", F.size("declarations").alias("declarations"), F.size("imports").alias("imports"), F.size("comments").alias("comments"), F.size("docs").alias("docs"), F.size("literals").alias("literals"))
+
+
+from lodestrata.plans import library  # noqa: E402, F401  (registers the rest)
