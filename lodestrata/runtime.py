@@ -11,8 +11,18 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Arrow batches go to the workers by size, not by number of rows alone: a batch of very long texts stays this small.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def visible(spark: SparkSession) -> SparkSession:
-    """Put the package's folder on the workers' path; on a cluster ship it with ``--py-files`` as well."""
+    """Put the package's folder on the workers' path; on a cluster ship it with ``--py-files`` as well.
+
+    Bounds the bytes of an Arrow batch where the session bounds them less.
+    """
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     held = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in held:
