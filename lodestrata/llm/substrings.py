@@ -1,41 +1,54 @@
 """Substring dedup: remove every word inside a window of ``window`` words that occurred earlier in the corpus.
 
-1. Anchors.  Of the ``phrase``-word phrases inside a window, the one of least hash (leftmost of equals) is its anchor.
-   Equal windows have equal anchors, so a window can only recur if its anchor does; about one phrase in nine is one.
-   Anchors are sent by hash; those of one text only, once, are dropped.  Exact copies of a text count once (the smallest
-   id stands for them) and are removed whole at the end.
-2. Confirmed passages.  Each document with recurring anchors sends, for each of them, the stretch of words that its
-   windows cover, once a task for equal stretches.
-3. Automata.  Stretches and phrases are dealt to shards by the anchor's hash.  A shard compiles its phrases into one
-   Aho-Corasick automaton and streams its stretches through it in document order: the automaton locates the anchor
-   character by character, and each window around it is owned by the first stretch that shows it.
-4. Removal.  A document's windows with recurring anchors that it doesn't own are cut out.
-
-All steps are exact; hashes only select candidates.  A shard holds ``ROWS_PER_SHARD`` stretches on average, streams are
-never held, and a passage that very many documents share is sent once a task.
+1. Slices.  The documents are written once to the shared folder, cut into slices of about ``SLICE_BYTES``; every later step
+   is a map over that table.  Of the ``phrase``-word phrases inside a window, the one of least hash (leftmost of equals) is
+   its anchor.  Equal windows have equal anchors, so a window can only recur if its anchor does; about one phrase in nine
+   is one.  Each slice lists its distinct anchors' words.
+2. Confirmed passages.  The lists meet by phrase; a phrase that is in two lists, or twice in one, is confirmed and goes back
+   to the slices that have it.
+3. Automata.  Each slice has a shard of the confirmed phrases: its own.  The shard is compiled into an Aho-Corasick automaton
+   and every document of the slice is streamed through it; its hits are the occurrences.  Windows that hold one are
+   candidates, those without can't recur.
+4. Owners.  The candidates' digests (128 bits of their words) meet by digest; all but the first place of a digest repeat it.
+5. Removal.  The words of repeating windows are cut out of each document.
+
+Exact copies of a text are found by a 128-bit digest; the smallest id stands for them, and the others lose all their words
+without being streamed.  Both digests decide: at 10^13 of them a collision has odds below 10^-12.  Lists and candidates
+travel packed, one row for each slice and bucket, so no key grows with a passage's copies: a slice sends each phrase and
+each window once.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from lodestrata.llm.shared import parallelism, pieces, written
+from lodestrata.llm.shared import SharedFile, filesystem, fresh_path, parallelism, pieces, written
 
 WINDOW = 20
 PHRASE = 5
-ROWS_PER_SHARD = 100_000
-#: Rows of one anchor in a slice of texts from which it counts as common.
-COMMON = 16
-_MEMO = 300_000
+#: Text of one slice, which bounds its automaton; one longer document is a slice of its own.
+SLICE_BYTES = 4 << 20
+#: Phrases, and words, behind one bucket on average where they meet.
+PHRASES_PER_BUCKET, WORDS_PER_BUCKET = 50_000, 400_000
+#: Buckets that one task takes on average, so that tasks are even.
+BUCKETS_PER_TASK = 8
+#: Phrases and candidate windows that a worker holds before it sends them.
+HELD = 400_000
 _LAST = (1 << 63) - 1
 #: Bits of a position beside a hash; longer texts take a slower way to the same result.
 _PLACE = 24
+#: A place is a partition, a segment of that partition, and a word of the segment; a text has a segment for every 2^19 words.
+_WORD_BITS, _SEGMENT_BITS = 19, 23
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -112,196 +125,332 @@ def _sorted_distinct(at: np.ndarray) -> np.ndarray:
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
-def _batches(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+class _Shard:
+    """The automaton of some phrases of ``phrase`` words; a text is its words joined, and surrounded, by one space."""
 
+    def __init__(self, phrases: list[bytes], phrase: int):
+        self.phrase, self.trie = phrase, ahocorasick.Automaton()
+        for p in phrases:
+            self.trie.add_word(f" {p.decode('latin-1')} ", 0)
+        if phrases:
+            self.trie.make_automaton()
+        self.empty = not phrases
 
-def _find_anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(h, th, doc, pos, known): every anchor of every text of at least ``window`` words, pre-aggregated slice by slice.
+    def hits(self, line: bytes, gaps: np.ndarray) -> np.ndarray:
+        """Word positions at which one of the phrases starts; ``gaps``: where the line has its spaces."""
+        if self.empty:
+            return np.zeros(0, np.int64)
+        ends = np.fromiter((end for end, _ in self.trie.iter(line.decode("latin-1"))), np.int64)
+        return np.searchsorted(gaps, ends) - self.phrase
 
-    Of the copies of a text in a slice only the smallest id is sent.  An anchor that a slice shows to be common is known to
-    recur: two of its texts are sent by hash, so that it meets the rest, and its other rows go anywhere (``known``).
+
+def _line(words: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The words joined and surrounded by single spaces, and the positions of these spaces."""
+    line = b" ".join([b"", *words, b""])
+    return line, np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+
+
+def _row(names: str, *columns: list) -> pa.RecordBatch:
+    fields = [f.split() for f in names.split(", ")]
+    types = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def _small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _pack(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
+    """Digests as they are, documents and places, which lie close together, as compressed steps."""
+    return keys.tobytes() + _small(np.diff(doc, prepend=0).tobytes() + np.diff(place, prepend=0).tobytes()) + len(doc).to_bytes(8, "little")
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    """(high digest, low digest, document, place) rows."""
+    n = int.from_bytes(data[-8:], "little")
+    steps = np.frombuffer(_whole(data[16 * n : -8]), "<i8").reshape(2, n).cumsum(axis=1)
+    return np.column_stack([np.frombuffer(data, "<i8", 2 * n).reshape(n, 2), steps.T])
+
+
+_SLICED = "doc_id long, doc long, place long, th binary, n_words long, text string, slice long, phrases binary, n long"
+
+
+def _sliced(rows: DataFrame, window: int, phrase: int) -> DataFrame:
+    """The documents, each with its place and slice, and among them each slice's list of anchors (``phrases`` is not null).
+
+    A list has a line for each phrase, headed by ``+`` if it was met more than once; a slice may have several lists.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "th", "doc", "pos", "known"]
-        for b in pieces(batches):
-            docs_, ths = np.asarray(b.column(0)), np.asarray(b.column(1))
-            hs, at, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
-                h, pos = anchors(text or b"", window, phrase)
-                if len(pos):
-                    pos = _sorted_distinct(pos)
-                    hs.append(h[pos])
-                    at.append(pos)
-                    own.append(np.full(len(pos), i))
-            h, pos, own = np.concatenate(hs).view(np.int64), np.concatenate(at), np.concatenate(own)
-            doc, th = docs_[own], ths[own]
-            if len(h):
-                o = np.lexsort((pos, doc, th, h))
-                h, th, doc, pos = h[o], th[o], doc[o], pos[o]
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (th[1:] != th[:-1])))
-                keep = doc == doc[new][new.cumsum() - 1]
-                h, th, doc, pos = h[keep], th[keep], doc[keep], pos[keep]
-            known = np.zeros(len(h), bool)
-            if len(h):
-                starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                size = np.diff(np.concatenate((starts, [len(h)])))
-                last = starts + size - 1
-                common = (size >= COMMON) & (th[starts] != th[last])
-                known = np.repeat(common, size)
-                known[starts] = known[last] = False
-            key = np.where(known, (h.view(np.uint64) ^ (doc.view(np.uint64) * _BASE)).view(np.int64), h)
-            yield _batches([key, th, doc, pos.astype(np.int32), known], names)
-
-    return docs.select("doc", "th", "text").mapInArrow(run, "h long, th long, doc long, pos int, known boolean")
-
-
-def _recurring(found: DataFrame) -> DataFrame:
-    """(doc, th, pos) of the anchors whose phrase occurs again, in another text or in the same one."""
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        segment = no = size = 0
+        once, again, copies = set(), set(), set()
+
+        def listed() -> pa.RecordBatch:
+            lines = b"\n".join(sorted((b"+" if p in again else b"-") + p for p in once))
+            n = len(once)
+            once.clear()
+            again.clear()
+            return _row(_SLICED, [None], [None], [None], [None], [None], [None], [pid << 20 | no], [lines], [n])
+
+        for b in pieces(batches, 256):
+            out: list[list] = [[] for _ in range(7)]
+            for id_, doc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                data = text.encode() if text else b""
+                words, th = data.split(), xxhash.xxh3_128_digest(data)
+                for column, x in zip(out, (id_, doc, pid << _SEGMENT_BITS + _WORD_BITS | segment << _WORD_BITS, th, len(words), text, pid << 20 | no)):
+                    column.append(x)
+                segment += (len(words) >> _WORD_BITS) + 1
+                size += len(data)
+                if len(words) >= window and th not in copies:
+                    copies.add(th)
+                    line, gaps = _line(words)
+                    _, at = anchors(data, window, phrase)
+                    at = _sorted_distinct(at)
+                    for a, z in zip((gaps[at] + 1).tolist(), gaps[at + phrase].tolist()):
+                        p = line[a:z]
+                        (again if p in once else once).add(p)
+                    if len(once) >= HELD:
+                        yield listed()
+                if size >= SLICE_BYTES:
+                    yield _row(_SLICED, *out, [None] * len(out[0]), [None] * len(out[0]))
+                    out = [[] for _ in range(7)]
+                    if once:
+                        yield listed()
+                    copies.clear()
+                    no, size = no + 1, 0
+            if segment >> _SEGMENT_BITS or no >> 20 or pid >> 63 - _SEGMENT_BITS - _WORD_BITS:
+                raise ValueError("too many rows in one partition, or partitions, to number their words")
+            if out[0]:
+                yield _row(_SLICED, *out, [None] * len(out[0]), [None] * len(out[0]))
+        if once:
+            yield listed()
+
+    return written(rows.select("doc_id", "doc", "text").mapInArrow(run, _SLICED), "slices", compression="zstd")
+
+
+def _files(rows: DataFrame, folder: str, name: str, merge: Callable[[list[bytes]], bytes]) -> None:
+    """Write ``rows`` (pid, kind, data) to a file for each pid, which maps each kind to its data, merged.
+
+    ``merge`` does not depend on the order of its parts, so a file is the same whichever attempt writes it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_key, run_doc = None, None  # the last (h, th) and the smallest document that has it
-        live: int | None = None  # the last h, if it is known to recur
-        held = np.zeros((0, 4), np.int64)  # one row of the last h, if nothing else of it has been seen
+        pid, kind, parts, content, done = None, None, [], {}, 0
+
+        def close(whole: bool) -> None:
+            nonlocal content, parts, done
+            if parts:
+                content[kind] = merge(parts)
+                parts = []
+            if whole and content:
+                out = SharedFile(folder, f"{name}-{pid}")
+                out.write(pickle.dumps(content))
+                out.close()
+                content, done = {}, done + 1
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows = np.column_stack([np.asarray(b.column(i).to_numpy(zero_copy_only=False)).astype(np.int64) for i in range(5)])
-            known, rows = rows[rows[:, 4] == 1], rows[rows[:, 4] == 0, :4]
-            if len(known):
-                yield _batches([known[:, 2], known[:, 1], known[:, 3].astype(np.int32)], ["doc", "th", "pos"])
-            if not len(rows):
-                continue
-            new = np.concatenate(([run_key is None or tuple(rows[0, :2]) != run_key], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
-            run_id = new.cumsum() - new[0]
-            firsts = rows[new, 2] if new[0] else np.concatenate(([run_doc], rows[new, 2]))
-            run_key, run_doc = tuple(rows[-1, :2]), firsts[-1]
-            rows = np.concatenate([held, rows[rows[:, 2] == firsts[run_id]]])
-            if not len(rows):
-                continue
-            edge = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-            size = np.diff(np.concatenate((edge, [len(rows)])))
-            again = (size > 1) | ((rows[edge, 0] == live) if live is not None else False)
-            held = rows[:0] if again[-1] else rows[-1:]
-            live = int(rows[-1, 0]) if again[-1] else None
-            rows = rows[np.repeat(again, size)]
-            yield _batches([rows[:, 2], rows[:, 1], rows[:, 3].astype(np.int32)], ["doc", "th", "pos"])
-
-    n = parallelism(found)
-    return found.repartition(n, "h").sortWithinPartitions("h", "th", "doc", "pos").mapInArrow(run, "doc long, th long, pos int")
-
-
-def _stretches(joined: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(h, kind, doc, th, at, rel, words): kind 0 a phrase, kind 1 the words that an anchor's windows cover."""
-    schema = "h long, kind int, doc long, th long, at int, rel int, words binary"
+            for p, k, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (p, k) != (pid, kind):
+                    close(p != pid)
+                    pid, kind = p, k
+                parts.append(data)
+        close(True)
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["files"])
+
+    dealt = rows.repartition(parallelism(rows), "pid").sortWithinPartitions("pid", "kind")
+    dealt.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
+def _of_file(folder: str, name: str, pid: int) -> dict:
+    """What :func:`_files` wrote for ``pid``; empty if there was nothing."""
+    at, root = filesystem(folder)
+    path = f"{root}/{name}-{pid}"
+    if at.get_file_info(path).type == pafs.FileType.NotFound:
+        return {}
+    with at.open_input_file(path) as f:
+        return pickle.loads(f.read())
+
+
+def _lines(parts: list[bytes]) -> bytes:
+    return b"\n".join(sorted({x for p in parts for x in p.split(b"\n")}))
+
+
+def _places(parts: list[bytes]) -> bytes:
+    return np.sort(np.frombuffer(b"".join(parts), "<i8")).tobytes()
+
+
+def _confirmed(lists: DataFrame, buckets: int) -> DataFrame:
+    """(pid, kind, data): the phrases of each slice that recur; kind is the slice."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            for slice_, lines in zip(*(b.column(i).to_pylist() for i in range(2))):
+                by: dict[int, list[bytes]] = {}
+                for x in lines.split(b"\n"):
+                    by.setdefault(digest(x[1:]) % buckets, []).append(x)
+                yield _row("bucket long, slice long, data binary", list(by), [slice_] * len(by), [_small(b"\n".join(x)) for x in by.values()])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def found() -> pa.RecordBatch:
+            first, again = {}, set()
+            for at, (_, lines) in enumerate(held):
+                for x in lines.split(b"\n"):
+                    if x[:1] == b"+" or first.setdefault(x[1:], at) != at:
+                        again.add(x[1:])
+            first.clear()
+            out = [(s >> 20, s, b"\n".join(own)) for s, lines in held if (own := [x[1:] for x in lines.split(b"\n") if x[1:] in again])]
+            return _row("pid long, kind long, data binary", *([r[i] for r in out] for i in range(3)))
+
+        for b in batches:
+            for k, s, lines in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if k != bucket:
+                    if held:
+                        yield found()
+                    bucket, held = k, []
+                held.append((s, _whole(lines)))
+        if held:
+            yield found()
+
+    dealt = lists.select("slice", "phrases").mapInArrow(deal, "bucket long, slice long, data binary")
+    n = max(parallelism(lists), -(-buckets // BUCKETS_PER_TASK))
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "pid long, kind long, data binary")
+
+
+def _candidates(docs: DataFrame, folder: str, window: int, phrase: int, buckets: int) -> DataFrame:
+    """(bucket, data): the digests, documents and places of the windows that hold a confirmed phrase, each once a slice;
+    and with the digests 0 the places of windows that repeat one of the same slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent, known = {}, set()
-        for b in pieces(batches):
-            out: list[tuple] = []
-            for doc, th, text, marks in zip(*(b.column(i).to_pylist() for i in range(4))):
-                data = text.encode()
-                words = data.split()
-                h, at = anchors(data, window, phrase)
-                edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
-                marked = np.isin(at[edges[:-1]], marks)
-                for a, z in zip(edges[:-1][marked].tolist(), edges[1:][marked].tolist()):
-                    p = int(at[a])
-                    stretch = b" ".join(words[a : z - 1 + window])
-                    if sent.get(stretch, _LAST + 1) <= doc:
-                        continue  # this task has sent it for an earlier place
-                    if len(sent) >= _MEMO:
-                        sent.clear()
-                    sent[stretch] = doc
-                    key = int(h[p].view(np.int64))
-                    text_of = b" ".join(words[p : p + phrase])
-                    if text_of not in known:
-                        if len(known) >= _MEMO:
-                            known.clear()
-                        known.add(text_of)
-                        out.append((key, 0, 0, 0, 0, 0, text_of))
-                    out.append((key, 1, doc, th, a, p - a, stretch))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            names = ["h", "kind", "doc", "th", "at", "rel", "words"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
-
-    return joined.select("doc", "th", "text", "marks").mapInArrow(run, schema)
-
-
-def _owned(stretches: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
-    """(doc, th, at, mask): bit i of mask is set if the window at + i is the first of its words."""
+        held: list[list] = []
+        count, pid, slice_, phrases, copies, shard = 0, None, None, {}, frozenset(), None
+        digest = xxhash.xxh3_128_digest
+
+        def flush() -> pa.RecordBatch:
+            nonlocal count
+            keys = np.frombuffer(b"".join(h[0] for h in held), ">u8").astype(np.uint64).reshape(-1, 2)
+            doc = np.repeat(np.array([h[1] for h in held], np.int64), [len(h[2]) for h in held])
+            place = np.concatenate([h[2] for h in held])
+            held.clear()
+            count = 0
+            o = np.lexsort((place, doc, keys[:, 1], keys[:, 0]))
+            keys, doc, place = keys[o], doc[o], place[o]
+            new = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))
+            again = np.sort(place[~new])
+            keys, doc, place = keys[new], doc[new], place[new]
+            dealt = (keys[:, 0] % np.uint64(buckets)).astype(np.int64)
+            o = np.lexsort((place, dealt))
+            keys, doc, place, dealt = keys[o].view(np.int64), doc[o], place[o], dealt[o]
+            edge = [*np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1]))).tolist(), len(dealt)]
+            names, data = dealt[edge[:-1]].tolist(), [_pack(keys[a:z], doc[a:z], place[a:z]) for a, z in zip(edge, edge[1:])]
+            if len(again):
+                names.append(int(again[0]) % buckets)
+                data.append(_pack(np.zeros((len(again), 2), np.int64), np.zeros(len(again), np.int64), again))
+            return _row("bucket long, data binary", names, data)
+
+        for b in pieces(batches, 256):
+            for place, doc, own, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if own != slice_:
+                    if own >> 20 != pid:
+                        pid = own >> 20
+                        phrases = _of_file(folder, "phrases", pid)
+                        copies = frozenset(np.frombuffer(_of_file(folder, "copies", pid).get(0, b""), "<i8").tolist())
+                    slice_ = own
+                    shard = _Shard(phrases[own].split(b"\n") if own in phrases else [], phrase)
+                words = text.encode().split() if text and place not in copies and not shard.empty else []
+                if len(words) < window:
+                    continue
+                line, gaps = _line(words)
+                hits = shard.hits(line, gaps)
+                if not len(hits):
+                    continue
+                cover = np.zeros(len(words) + 1, np.int64)
+                np.add.at(cover, np.maximum(0, hits + phrase - window), 1)
+                np.add.at(cover, hits + 1, -1)
+                starts = np.flatnonzero(cover.cumsum()[: len(words) - window + 1] > 0)
+                for i in range(0, len(starts), HELD):
+                    some = starts[i : i + HELD]
+                    keys = b"".join([digest(line[a:z]) for a, z in zip((gaps[some] + 1).tolist(), gaps[some + window].tolist())])
+                    held.append([keys, doc, place + some])
+                    count += len(some)
+                    if count >= HELD:
+                        yield flush()
+        if held:
+            yield flush()
+
+    return docs.select("place", "doc", "slice", "text").mapInArrow(run, "bucket long, data binary")
+
+
+def _later(candidates: DataFrame, n: int) -> DataFrame:
+    """(pid, kind, data): places of the windows that repeat another of smaller document, or earlier in the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, ready, seen = ahocorasick.Automaton(), False, set()
+        bucket, held = None, []
+
+        def found() -> pa.RecordBatch:
+            rows = np.concatenate([_unpack(h) for h in held])
+            rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+            again = np.concatenate(([False], (rows[1:, :2] == rows[:-1, :2]).all(axis=1))) | (rows[:, :3] == 0).all(axis=1)
+            place = np.sort(rows[again, 3])
+            pid = place >> _SEGMENT_BITS + _WORD_BITS
+            edge = [*np.flatnonzero(np.concatenate(([True], pid[1:] != pid[:-1]))).tolist(), len(place)] if len(place) else [0]
+            return _row("pid long, kind long, data binary", pid[edge[:-1]].tolist(), [0] * (len(edge) - 1), [place[a:z].tobytes() for a, z in zip(edge, edge[1:])])
+
         for b in batches:
-            out: list[tuple] = []
-            for kind, doc, th, at, rel, data in zip(*(b.column(i).to_pylist() for i in range(1, 7))):
-                if kind == 0:
-                    word = f" {data.decode('latin-1')} "
-                    trie.add_word(word, len(word))
-                    continue
-                if not ready:
-                    trie.make_automaton()
-                    ready = True
-                text = f" {data.decode('latin-1')} "
-                gaps = [0]
-                while (nxt := text.find(" ", gaps[-1] + 1)) >= 0:
-                    gaps.append(nxt)
-                if not any(end == gaps[rel + phrase] and end - n + 1 == gaps[rel] for end, n in trie.iter(text)):
-                    raise AssertionError("a stretch without its anchor")
-                mask = 0
-                for i in range(len(gaps) - window):
-                    own = text[gaps[i] : gaps[i + window]]
-                    if own not in seen:
-                        seen.add(own)
-                        mask |= 1 << i
-                if mask:
-                    out.append((doc, th, at, mask))
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc", "th", "at", "mask"])
-
-    dealt = stretches.repartition(shards, "h").sortWithinPartitions("kind", "doc", "th", "at")
-    return dealt.mapInArrow(run, "doc long, th long, at int, mask long")
-
-
-def _cut(joined: DataFrame, window: int, phrase: int, texts: bool) -> DataFrame:
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
+            for k, data in zip(*(b.column(i).to_pylist() for i in range(2))):
+                if k != bucket:
+                    if held:
+                        yield found()
+                    bucket, held = k, []
+                held.append(data)
+        if held:
+            yield found()
+
+    return candidates.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "pid long, kind long, data binary")
+
+
+def _cut(docs: DataFrame, folder: str, window: int, texts: bool) -> DataFrame:
+    """(doc_id, doc, th, n_words, n_removed, kept_sha256, kept) of each document, but for repeated rows."""
+    schema = "doc_id long, doc long, th binary, n_words long, n_removed long, kept_sha256 string, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            n_words, n_removed, digests, kept = [], [], [], []
-            for text, marks, owned, copy in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
-                data = text.encode() if text else b""
-                words = data.split()
-                n_words.append(len(words))
-                if copy and len(words) >= window:
-                    n_removed.append(len(words))
-                    words = []
-                elif marks and len(words) >= window:
-                    _, at = anchors(data, window, phrase)
-                    again = np.isin(at, marks)
-                    for o in owned or ():
-                        for i in range(o["mask"].bit_length()):
-                            if o["mask"] >> i & 1:
-                                again[o["at"] + i] = False
-                    cover = np.zeros(len(words) + 1, np.int64)
-                    starts = np.flatnonzero(again)
+        pid, gone, copies = None, np.zeros(0, np.int64), {}
+        for b in pieces(batches, 256):
+            out: list[list] = [[] for _ in range(7)]
+            for id_, doc, th, place, n, text in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if place >> _SEGMENT_BITS + _WORD_BITS != pid:
+                    pid = place >> _SEGMENT_BITS + _WORD_BITS
+                    gone = np.frombuffer(_of_file(folder, "later", pid).get(0, b""), "<i8")
+                    marks = _of_file(folder, "copies", pid)
+                    copies = {p: k for k in (1, 2) for p in np.frombuffer(marks.get(k, b""), "<i8").tolist()}
+                kind, removed = copies.get(place), 0
+                if kind == 2:
+                    continue  # a repeated row: the first one's result
+                words = text.encode().split() if text else []
+                if kind == 1 and n >= window:
+                    words, removed = [], n
+                elif len(starts := gone[slice(*np.searchsorted(gone, (place, place + n)))] - place):
+                    cover = np.zeros(n + 1, np.int64)
                     cover[starts] += 1
-                    cover[starts + window] -= 1
-                    gone = cover.cumsum()[:-1] > 0
-                    n_removed.append(int(gone.sum()))
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    n_removed.append(0)
+                    np.add.at(cover, starts + window, -1)
+                    stays = cover.cumsum()[:-1] == 0
+                    removed = n - int(stays.sum())
+                    words = [w for w, s in zip(words, stays.tolist()) if s]
                 line = b" ".join(words)
-                digests.append(hashlib.sha256(line).hexdigest())
-                if texts:
-                    kept.append(line.decode())
-            columns = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if texts else []), names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + texts])
+                for column, x in zip(out, (id_, doc, th, n, removed, hashlib.sha256(line).hexdigest(), line.decode() if texts else None)):
+                    column.append(x)
+            yield _row(schema, *out)
 
-    return joined.select("doc_id", "text", "marks", "owned", "copy").mapInArrow(run, schema)
+    return docs.select("doc_id", "doc", "th", "place", "n_words", "text").mapInArrow(run, schema)
 
 
 def remove_repeats(
@@ -311,19 +460,38 @@ def remove_repeats(
 
     Defined cases: a null text has no words; texts of fewer than ``window`` words lose none; a null id comes after all
     others; rows equal in id and text are one document and get the same result; rows with one id and different texts are
-    separate, the one of smaller hash first; an empty table gives no rows; other columns are ignored.
+    separate, in the order in which they are read; an empty table gives no rows; other columns are ignored.
     """
-    text = F.col(text_col).cast("string")
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), text.alias("text")
-    )
-    again = written(_recurring(_find_anchors(rows, window, phrase)), "recurring")
-    shards = max(parallelism(docs), -(-again.count() // ROWS_PER_SHARD))
-    marks = written(again.groupBy("doc", "th").agg(F.collect_set("pos").alias("marks")), "marks")
-    owned = written(_owned(_stretches(rows.join(marks, ["doc", "th"]), window, phrase), shards, window, phrase), "owned")
-    light = rows.filter("text is not null").select("doc", "th")
-    firsts = light.groupBy("th").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = light.join(firsts, "th").filter("doc <> first").select("doc", "th").distinct().withColumn("copy", F.lit(True))
-    own = owned.groupBy("doc", "th").agg(F.collect_list(F.struct("at", "mask")).alias("owned"))
-    cuts = marks.join(own, ["doc", "th"], "left").join(copies, ["doc", "th"], "full")
-    return _cut(rows.join(written(cuts, "cuts"), ["doc", "th"], "left"), window, phrase, texts)
+    if not 0 < phrase <= window:
+        raise ValueError("a phrase has at least one word, and no more than a window")
+    id_ = F.col(id_col).cast("long")
+    rows = docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(_LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    folder = fresh_path(docs.sparkSession, "phrases")
+    table = _sliced(rows, window, phrase)
+    sliced, lists = table.filter("phrases is null"), table.filter("phrases is not null")
+    words, phrases = table.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    light = sliced.filter("n_words > 0").select("doc", "place", "th")
+    firsts = written(light.groupBy("th").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "firsts")
+    later = light.join(firsts, "th").filter(F.col("place") != F.col("first.place"))
+    repeat = F.when(F.col("doc") == F.col("first.doc"), 2).otherwise(1)
+    # of a later text's repeated rows all are copies; repeats are rows of the first one's id
+    marks = later.select((F.shiftright("place", _SEGMENT_BITS + _WORD_BITS)).alias("pid"), repeat.cast("long").alias("kind"), "place")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pid, kind, place = (np.asarray(b.column(i)) for i in range(3))
+            keys = [(int(p), k) for p in np.unique(pid) for k in (0, 1, 2)]
+            data = [place[(pid == p) & ((kind == k) | (k == 0))] for p, k in keys]
+            yield _row("pid long, kind long, data binary", [p for p, _ in keys], [k for _, k in keys], [d.tobytes() for d in data])
+
+    _files(marks.mapInArrow(packed, "pid long, kind long, data binary"), folder, "copies", _places)
+    _files(_confirmed(lists, max(1, -(-phrases // PHRASES_PER_BUCKET))), folder, "phrases", _lines)
+    buckets = max(1, -(-words // WORDS_PER_BUCKET))
+    found = _candidates(sliced, folder, window, phrase, buckets)
+    _files(_later(found, max(parallelism(docs), -(-buckets // BUCKETS_PER_TASK))), folder, "later", _places)
+    cut = written(_cut(sliced, folder, window, texts), "cut")
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])]
+    repeats = later.filter(repeat == 2).select("doc", "th")
+    once = cut.select("doc", "th", *columns).join(repeats.select("doc", "th").distinct(), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
+    return cut.select(*columns).union(repeats.join(once, ["doc", "th"]).select(*columns))

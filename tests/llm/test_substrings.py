@@ -40,12 +40,41 @@ def corpus(seed):
     return rows + [rows[3], rows[3], (None, texts[0]), (None, shared[1])][: 2 + 1]
 
 
-@pytest.mark.parametrize("seed,common", [(1, 16), (2, 2), (3, 4)])
-def test_against_brute_force(spark, monkeypatch, seed, common):
-    monkeypatch.setattr(substrings, "COMMON", common)
+@pytest.mark.parametrize("seed,size,window,phrase", [(1, 4 << 20, 20, 5), (2, 300, 20, 5), (3, 3000, 20, 7), (4, 2000, 100, 5), (5, 1000, 4, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, size, window, phrase):
+    for name, n in (("SLICE_BYTES", size), ("PHRASES_PER_BUCKET", 100), ("WORDS_PER_BUCKET", 500), ("HELD", 1 + size // 10)):
+        monkeypatch.setattr(substrings, name, n)
     rows = corpus(seed)
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, h int, kind string").repartition(3)
-    assert sorted(map(tuple, remove_repeats(df).collect()), key=str) == brute(rows)
+    df = spark.createDataFrame([(i, t, 1, "x", 2, 3) for i, t in rows], "doc_id long, text string, place int, th string, slice int, doc int").repartition(3)
+    assert sorted(map(tuple, remove_repeats(df, window, phrase).collect()), key=str) == brute(rows, window)
+
+
+def test_occurrences_come_from_the_automata(spark, monkeypatch):
+    text = " ".join(map(str, range(30)))
+    df = spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeats(df).collect()} == {1: 0, 2: 30}
+    line, gaps = substrings._line(b"a b c d b c d".split())
+    assert substrings._Shard([b"b c", b"c d"], 2).hits(line, gaps).tolist() == [1, 2, 4, 5]
+
+    class Blind(substrings._Shard):
+        def hits(self, line, gaps):
+            return gaps[:0]
+
+    monkeypatch.setattr(substrings, "_Shard", Blind)
+    assert {r.doc_id: r.n_removed for r in remove_repeats(df).collect()} == {1: 0, 2: 0}
+
+
+def test_very_long_text_and_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "_PLACE", 6)  # the way of texts beyond 2^24 phrases
+    monkeypatch.setattr(substrings, "_WORD_BITS", 5)
+    rng = random.Random(8)
+    shared = " ".join(f"s{rng.randrange(99)}" for _ in range(60))
+    long_ = " ".join([*(f"w{rng.randrange(30)}" for _ in range(4000)), shared, *(f"w{rng.randrange(30)}" for _ in range(3000)), "x" * 70000, shared])
+    rows = [(i, f"own{i} words{i} {shared} end{i}") for i in range(60)] + [(100, long_), (101, long_ + " y"), (7, "another text of the id " + shared), (None, None), (None, long_)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, remove_repeats(df).collect()), key=str)
+    want = brute(rows)
+    assert [r for r in got if r[0] != 7] == [r for r in want if r[0] != 7] and sorted(r[1:3] for r in got) == sorted(r[1:3] for r in want)
 
 
 def test_texts_and_empty(spark):
