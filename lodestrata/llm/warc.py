@@ -9,8 +9,9 @@ lookup binary-searches the directory, reads and inflates one block by its range,
 the record's range.  Bulk lookups come sorted, so each block is read about once, and records are then read archive by
 archive in the order of their offsets.
 
-Files are written under a task's own name and then renamed, with the same content from any attempt: a task that runs again
-after a lost executor replaces its file by an equal one.  All of them are in the shared folder.
+Every attempt of a task writes files of its own name, and its rows say which: only the rows of the attempt that Spark
+commits are read, so a second attempt, with the same rows in another order, can't move offsets under the index.  All files
+are in the shared folder.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def write_archives(decided: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, out = f"part-{TaskContext.get().partitionId():06d}.warc.gz", None
+        name, out = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -159,7 +160,7 @@ class CaptureIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            name, out, lines, places = f"part-{TaskContext.get().partitionId():06d}.cdx", None, [], []
+            name, out, lines, places = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.cdx", None, [], []
 
             def flush():
                 nonlocal out
@@ -223,7 +224,10 @@ class CaptureIndex:
 def look_up(index: CaptureIndex, wanted: DataFrame) -> DataFrame:
     """(page_id, url) rows, repeats counting once -> the places of their captures."""
 
+    shared = wanted.sparkSession.sparkContext.broadcast(index)  # its directory has at most MAX_DIRECTORY entries and one a part
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             keys = sorted({capture_key(u, i) for i, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())})
             found = [x for k in keys for x in index.find(k)]
