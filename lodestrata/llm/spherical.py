@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.llm.components import connected_components
-from lodestrata.llm.shared import written
+from lodestrata.llm.shared import pieces, written
 
-#: Vectors used to fit the centroids; every vector is assigned to a cell.
-SAMPLE = 20_000
+#: Vectors used to fit the centroids, at least and for each cell; every vector is assigned to a cell.
+SAMPLE, SAMPLE_PER_CELL = 20_000, 4
 POINTS_PER_CELL = 4000
-MAX_CELLS = 1024
+#: Cells are one row each on the driver and in every task: this many hold 32 million points a label before they grow.
+MAX_CELLS = 8192
 BLOCK = 2048
 ROUNDS = 12
 
@@ -101,26 +102,26 @@ def embedding_groups(
     width = widths[0]["w"] if widths else 0
     n = widths[0]["count"] if widths else 0
     usual = points.filter(F.size("e") == width)
-    sample = usual.orderBy(F.xxhash64("pid"), "pid").limit(SAMPLE).select("e").toPandas()["e"].to_list() if n else []
     cells = max(1, min(MAX_CELLS, n // POINTS_PER_CELL))
+    sample = usual.orderBy(F.xxhash64("pid"), "pid").limit(max(SAMPLE, SAMPLE_PER_CELL * cells)).select("e").toPandas()["e"].to_list() if n else []
     centroids = fit_centroids(_unit(np.array(sample, np.float64)), min(cells, len(sample))) if sample else np.zeros((1, width))
     del sample
-    gaps = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
     chord = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(2).to_pylist()
-            is_usual = np.array([len(x) == width for x in lists], bool)
+        for b in pieces(batches, 2048):
+            is_usual = np.asarray(b.column(2).value_lengths()) == width
             take, cell, home = [np.flatnonzero(~is_usual)], [np.full((~is_usual).sum(), -1)], [np.ones((~is_usual).sum(), bool)]
             at = np.flatnonzero(is_usual)
             if len(at):
-                cos = _unit(np.array([lists[i] for i in at], np.float64)) @ centroids.T
+                cos = _unit(np.asarray(b.column(2).take(pa.array(at)).flatten()).reshape(len(at), width)) @ centroids.T
                 own = cos.argmax(axis=1)
                 take.append(at)
                 cell.append(own)
                 home.append(np.ones(len(at), bool))
-                margin = (cos[np.arange(len(at)), own][:, None] - cos) <= chord * gaps[own]
+                homes, of = np.unique(own, return_inverse=True)
+                gaps = np.sqrt(np.maximum(0.0, 2 - 2 * (centroids[homes] @ centroids.T))) + 1e-7
+                margin = (cos[np.arange(len(at)), own][:, None] - cos) <= chord * gaps[of]
                 margin &= np.arange(len(centroids)) < own[:, None]
                 i, c = np.nonzero(margin)
                 take.append(at[i])
