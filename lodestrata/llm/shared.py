@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -24,8 +25,34 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"file://{LOCAL_SHARED}").rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lodestrata-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestrata-{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete the folders that operators make inside, once the block ends, but for those of the tables put in the list.
+
+    Results must be written by then: ``with scratch(spark) as keep: keep.append(written(operator(df), "result"))``.
+    """
+    first, keep = len(_MADE), []
+    try:
+        yield keep
+    finally:
+        stays = {getattr(df, "_lodestrata_path", None) for df in keep}
+        for path in [p for p in _MADE[first:] if p not in stays]:
+            _delete(spark, path)
+        _MADE[first:] = [p for p in _MADE[first:] if p in stays]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
@@ -44,9 +71,7 @@ def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing reads any more."""
     if path := getattr(df, "_lodestrata_path", None):
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
