@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lodestrata.llm.shared import WORD, word_count, written
+from lodestrata.llm.shared import WORD, row_hash, unused, word_count, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -61,12 +61,12 @@ def whole_words(targets: list[Fraction]) -> list[int]:
 
 
 def _lines(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
-    """(doc_id, source, size, th, h): what the plan needs of each row; th digests the text, h is the shuffle key."""
+    """(doc_id, source, size, th, h): what the plan needs of each row; th digests the row, h is the shuffle key."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("th"),
+        row_hash(docs).alias("th"),
     ).withColumn("h", F.xxhash64("doc_id", "th", F.lit(seed)))
 
 
@@ -97,11 +97,11 @@ def schedule(counts: list[int], docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """The plan of the mix: (per row, fills).
 
-    Per row: uid, doc_id, th, source, size, source_size, target, taken.  Fills: (slot, uid, start, end), the words of a
-    row that a slot takes, a row's words counted on through its repeats.
+    Per row: uid, doc_id, th, source, size, source_size, target, taken, first_slot (null if nothing is taken).  Fills:
+    (slot, uid, start, end), the words of a row that a slot takes, a row's words counted on through its repeats.
 
     Defined cases: null sources are one source, the last; a null text has size 0; a source without words has target 0;
-    repeated rows are separate rows; an empty table gives none.
+    repeated rows are separate rows; an empty table gives none; other columns only tell rows apart.
     """
     spark = docs.sparkSession
     rows = written(_lines(docs, id_col, source_col, text_col, seed).withColumn("uid", F.monotonically_increasing_id()), "sizes")
@@ -141,29 +141,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     shift = F.col("turn") * F.col("size") - F.col("from")
     fills = cut.join(plan, ["no", "rank"]).select("slot", "uid", (start + shift).alias("start"), (end + shift).alias("end"))
     fills = written(fills, "fills")
-    taken = fills.groupBy("uid").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
+    taken = fills.groupBy("uid").agg(F.sum(F.col("end") - F.col("start")).alias("taken"), F.min("slot").alias("first_slot"))
     per = known.join(taken, "uid", "left").select(
-        "uid", "doc_id", "th", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+        "uid", "doc_id", "th", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot"
     )
     return per, fills
 
 
 def mixture_report(docs: DataFrame, **columns: str) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row; see :func:`mix` for the defined cases."""
-    return mix(docs, **columns)[0].select("doc_id", "size", "source_size", "target", "taken")
+    """(doc_id, size, source_size, target, taken, first_slot) for each row; see :func:`mix` for the defined cases.
+
+    first_slot is the place in the schedule at which the row first comes, null where the mix takes nothing of it.
+    """
+    return mix(docs, **columns)[0].select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: each as often as its words are taken.
 
     A row's last turn may take only its first words; it then has these, joined by one space.  Rows that are not taken go.
+    Rows equal in all columns count together, rows that differ in any (the source, say) each for itself.  Each partition is
+    in the order of the schedule.
     """
     per, _ = mix(docs, id_col, source_col, text_col)
-    again = per.filter("taken > 0").groupBy("doc_id", "th").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    once = docs.withColumns({"_id": F.col(id_col).cast("long"), "_th": F.xxhash64(F.col(text_col).cast("string"))}).dropDuplicates(["_id", "_th"])
-    joined = once.join(again, once["_id"].eqNullSafe(again["doc_id"]) & (once["_th"] == again["th"])).drop(again["doc_id"], again["th"])
-    turns = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    left = F.col("_taken") - (F.col("_turn") - 1) * F.col("_size")
+    id_, th, taken, size, slot, turn = unused(docs, "_id", "_th", "_taken", "_size", "_slot", "_turn")
+    again = per.filter("taken > 0").groupBy("doc_id", "th").agg(F.sum("taken"), F.max("size"), F.min("first_slot"))
+    a, b = unused(docs, "_a", "_b")
+    again = again.toDF(a, b, taken, size, slot)
+    once = docs.withColumns({id_: F.col(id_col).cast("long"), th: row_hash(docs)}).dropDuplicates([id_, th])
+    joined = once.join(again, F.col(id_).eqNullSafe(F.col(a)) & (F.col(th) == F.col(b))).sortWithinPartitions(slot, id_, th)
+    turns = joined.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size)))))
+    left = F.col(taken) - (F.col(turn) - 1) * F.col(size)
     text = F.col(text_col).cast("string")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    return turns.withColumn(text_col, F.when(left >= F.col("_size"), text).otherwise(cut)).select(*docs.columns)
+    return turns.withColumn(text_col, F.when(left >= F.col(size), text).otherwise(cut)).select(*docs.columns)

@@ -120,3 +120,69 @@ def test_schedule_spreads_sources(spark):
         seen[no] += 1
         assert all(abs(s - c * n / 1000) < 4 for s, c in zip(seen, counts))
     assert seen == counts
+
+
+def plain_taken(rows, h, block, cap=3):
+    """The schedule and its blocks in plain Python: words taken, and first slot, of each row; h gives a row's shuffle key."""
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = [len((r[1] or "").split()) for r in rows]
+    of = [names.index(r[3]) for r in rows]
+    total = [sum(n for n, o in zip(size, of) if o == i) for i in range(len(names))]
+    targets = brute_targets(total, [i % 3 + 1 for i in range(len(names))], sum(size))
+    words, done, acc = [], 0, Fraction(0)
+    for t in targets:
+        acc += t
+        words.append(math.floor(acc) - done)
+        done += words[-1]
+    counts = [-(-n // block) for n in words]
+    step, span = 1, 1
+    while span < sum(counts):
+        step, span = span, step + span
+    slots = {i: [] for i in range(len(names))}  # slots of each source in order
+    edge = [sum(counts[: i + 1]) for i in range(len(counts))]
+    for n in range(span):
+        point = n * step % span
+        if point < sum(counts):
+            slots[next(i for i, e in enumerate(edge) if point < e)].append(n)
+    taken, first = [0] * len(rows), [None] * len(rows)
+    for i in range(len(names)):
+        line = sorted((h[r], r) for r in range(len(rows)) if of[r] == i and size[r])
+        at = 0
+        for _turn in range(cap):
+            for _, r in line:
+                part = max(0, min(size[r], words[i] - at))
+                if part:
+                    taken[r] += part
+                    got = [slots[i][b] for b in range(at // block, (at + part - 1) // block + 1)]
+                    first[r] = min(got if first[r] is None else [*got, first[r]])
+                at += size[r]
+    return taken, first
+
+
+def test_taken_against_a_plain_schedule(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lodestrata.llm.shared import row_hash
+
+    monkeypatch.setattr(mixing, "SLOTS", 100)
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 16)
+    rows = [r for r in docs(7) if r[0] not in (402, 9, None)]
+    rows.append((9000, "w " * 3000, "en", "a", 1.0, 1))
+    for own in (rows, [(*r[:3], "one", *r[4:]) for r in rows]):
+        df = spark.createDataFrame(own, SCHEMA)
+        h = {r.doc_id: r.h % (1 << 64) for r in df.select("doc_id", F.xxhash64("doc_id", row_hash(df), F.lit(1)).alias("h")).collect()}
+        block = max(1, min(mixing.BLOCK, sum(len((r[1] or "").split()) for r in own) // 100))
+        taken, first = plain_taken(own, [h[r[0]] for r in own], block)
+        got = {r.doc_id: (r.taken, r.first_slot) for r in mixture_report(df).collect()}
+        assert block > 1
+        assert got == {r[0]: (t, f) for r, t, f in zip(own, taken, first)}
+
+
+def test_rows_of_one_id_and_text_in_two_sources(spark):
+    rows = [(1, "a b c", "s1"), (1, "a b c", "s2"), (2, "d e f", "s1"), (None, "a b c", "s2"), (None, "a b c", "s2")]
+    df = spark.createDataFrame([(*r, i % 2, 1, 2) for i, r in enumerate(rows)], "doc_id long, text string, source string, _size int, _taken int, _turn int")
+    got = mixed_documents(df)
+    assert got.columns == df.columns
+    out = got.collect()
+    assert {r.source for r in out} == {"s1", "s2"} and sum(len(r.text.split()) for r in out) == 15
+    assert sorted((r.source, r.text) for r in out) == sorted((r.source, r.text) for r in mixed_documents(df.repartition(3)).collect())
