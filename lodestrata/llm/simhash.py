@@ -209,6 +209,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col:
     return rows.join(named, "fp").select("doc_id", hex16.alias("fingerprint"), "component_id")
 
 
+#: Bytes of shingle sets in one block of a group; a group of more is compared block by block, too.
+BLOCK_BYTES = 32 << 20
 VIEWS = 6
 #: Shingles of a passage that a view fingerprints.
 VIEW_SHINGLES = 8
@@ -242,12 +244,14 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, component_id) for each row: near-copy classes by Jaccard similarity of the sets of word shingles.
+    """(doc_id, th, component_id, kept) for each row: near-copy classes by Jaccard similarity of the sets of word shingles.
 
-    th is xxhash64 of the text.  Every link found has at least ``similarity`` (sets of 32-bit shingle hashes).  Every pair
+    th is xxhash64 of the text; kept marks the row of smallest (doc_id, th) of each class, its repeats too.  Every link found has at least ``similarity`` (sets of 32-bit shingle hashes).  Every pair
     with a text of at most ``SHORT`` shingles is a candidate; a pair of longer ones at exactly 0.8 is one with probability
     over 0.99, closer ones more.  Texts with the same lower-cased words always
-    share a class, wordless and null texts theirs.  Repeated rows give repeated rows; an empty table gives none.
+    share a class, wordless and null texts theirs.  A null id comes after all others and names a class only if all of its
+    ids are null; rows with null ids link like any other.  Repeated rows give repeated rows; an empty table gives none; other
+    columns are ignored.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), text.alias("text"))
@@ -270,15 +274,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     known = written(rows.mapInArrow(features, "doc_id long, th long, key string, views array<long>, heads array<long>, sh binary"), "features")
     firsts = written(
-        known.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("views").alias("views"), F.first("heads").alias("heads")).withColumn("rid", F.monotonically_increasing_id()), "firsts"
+        known.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.first("views").alias("views"), F.first("heads").alias("heads"), F.first(F.octet_length("sh")).alias("bytes")).withColumn("rid", F.monotonically_increasing_id()), "firsts"
     )
-    shown = firsts.select("rid", "key", F.explode("views").alias("fp"))
+    shown = firsts.select("rid", "key", "bytes", F.explode("views").alias("fp"))
     linked = connected_components(near_links(shown.select("fp").distinct(), distance=1)).toDF("fp", "rep")
-    shared = firsts.select("rid", "key", F.explode("heads").alias("g"))
-    grouped = shown.join(linked, "fp", "left").select("rid", "key", F.coalesce("rep", "fp").alias("g")).union(shared).distinct()
-    sizes = grouped.groupBy("g").count().filter("count > 1")
+    shared = firsts.select("rid", "key", "bytes", F.explode("heads").alias("g"))
+    grouped = shown.join(linked, "fp", "left").select("rid", "key", "bytes", F.coalesce("rep", "fp").alias("g")).union(shared).distinct()
+    sizes = grouped.groupBy("g").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")).filter("count > 1")
     crowd = written(
-        grouped.join(sizes, "g").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int"))
+        grouped.drop("bytes").join(sizes, "g").withColumn("n", F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("rid"), F.col("n").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rid", "key"),
@@ -334,6 +338,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     edges = dealt.repartition(parallelism(docs), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
     reps = connected_components(edges).toDF("rid", "rep")
     named = firsts.select("rid", "key", "first").join(reps, "rid", "left").withColumn("rep", F.coalesce("rep", "rid"))
-    least = named.groupBy("rep").agg(F.min("first").alias("component_id"))
-    final = written(named.join(least, "rep").select("key", "component_id"), "classes")
-    return known.select("doc_id", "th", "key").join(final, "key").select("doc_id", "th", "component_id")
+    least = named.groupBy("rep").agg(F.min("first").alias("least"))
+    final = written(named.join(least, "rep").select("key", "least"), "classes")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
+    return known.select("doc_id", "th", "key").join(final, "key").select("doc_id", "th", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
