@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from lodestrata.llm.langid import FILTERS, WIDTHS, as_bytes, fit, predict_languages, train, windows
+from lodestrata.llm.langid import EMBED, FILTERS, WIDTHS, _gradients, as_bytes, fit, predict_languages, train, windows
 
 
 def text(lang, rng):
@@ -43,3 +43,38 @@ def test_held_out_accuracy_and_cases(spark):
     empty = df.limit(0)
     assert predict_languages(empty, train(empty)).collect() == []
     assert {r.lang_pred for r in predict_languages(df, train(empty)).collect()} == {"und"}
+
+
+def test_gradients_by_finite_differences():
+    rng = np.random.default_rng(3)
+    p = {"e": rng.normal(0, 0.5, (256, EMBED)), "v": rng.normal(0, 0.5, (FILTERS * len(WIDTHS), 3)), "c": rng.normal(0, 0.1, 3)}
+    for w in WIDTHS:
+        p[f"f{w}"], p[f"b{w}"] = rng.normal(0, 0.5, (w * EMBED, FILTERS)), rng.normal(0, 0.1, FILTERS)
+    x, y = np.stack([windows(as_bytes(text(lang, random.Random(i))))[0] for i, lang in enumerate(["aa", "bb", "cc", "aa"])]), np.array([0, 1, 2, 0])
+
+    def loss():
+        pooled = []
+        for w in WIDTHS:
+            emb = p["e"][x]
+            r = sum(emb[:, i : x.shape[1] - w + 1 + i] @ p[f"f{w}"][i * EMBED : (i + 1) * EMBED] for i in range(w))
+            pooled.append(np.maximum(r.max(axis=1) + p[f"b{w}"], 0))
+        z = np.concatenate(pooled, axis=1) @ p["v"] + p["c"]
+        return -(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(4), y].mean()
+
+    for name, grad in _gradients(p, x, y).items():
+        flat, want = p[name].reshape(-1), grad.reshape(-1)
+        for i in [int(j) for j in np.argsort(-np.abs(want))[:6]] + rng.integers(0, len(flat), 6).tolist():
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = loss()
+            flat[i] = old - 1e-6
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / 2e-6 - want[i]) < 1e-5, name
+
+
+def test_ties_take_the_first_language(spark):
+    rows = [(i, "ababab abab", lang) for i in range(80) for lang in ["bb", "aa"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = predict_languages(df, train(df)).collect()
+    assert len({(r.lang_pred, round(r.score, 9)) for r in got}) == 1
