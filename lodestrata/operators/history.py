@@ -21,7 +21,7 @@ def co_changed(changes: DataFrame, module: str | DataFrame, width: int = WIDTH)
     Commits with the target are found first, and only their files are read for partners: no pairing of all files.
     """
     distinct = narrow(changes.select("hash", "path").distinct(), width)
-    target = distinct.filter(F.col("path") == module) if isinstance(module, str) else distinct.join(F.broadcast(module.select("path")), "path", "left_semi")
+    target = distinct.filter(F.col("path") == module) if isinstance(module, str) else distinct.join(module.select("path").distinct(), "path", "left_semi")
     hit = target.select("hash", F.col("path").alias("_target"))
     pairs = distinct.join(hit, "hash").filter("path <> _target")
     return pairs.groupBy(F.col("path").alias("module")).agg(F.count("*").alias("together")).crossJoin(F.broadcast(target.agg(F.count("*").alias("outOf"))))
@@ -34,7 +34,8 @@ def skipped_wide(changes: DataFrame, width: int = WIDTH) -> DataFrame:
 def file_history(changes: DataFrame, commits: DataFrame, recent: int = RECENT) -> DataFrame:
     """A12 for every file: commits, lines, first and last time, the newest commits, and whether history was cut short.
 
-    The newest are kept by a bounded aggregate (largest times), not by collecting all of a file's commits.
+    The newest are ranked under a limit, which each task applies before the shuffle: a file that every commit touches sends
+    ``recent`` rows a task.
     """
     joined = changes.join(commits.select("hash", "at", F.substring_index("message", "\n", 1).alias("subject")), "hash")
     from pyspark.sql import Window
