@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import posixpath
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.operators.ingest import extension_of, resolve_candidates
@@ -62,7 +63,11 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
 
     A relative specifier without a module is unresolved, any other one is taken for a dependency.
     """
-    paths = F.udf(candidates, "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def paths(modules: pd.Series, specifiers: pd.Series) -> pd.Series:
+        return pd.Series([candidates(m, s) if m is not None and s is not None else [] for m, s in zip(modules, specifiers)], dtype=object)
+
     found = resolve_candidates(imports, paths("module", "specifier"), modules)
     local = F.col("specifier").rlike(r"^(\.|/|res://|crate\b|self\b|super\b)")
     status = F.when(F.col("target").isNotNull(), "resolved").when(local, "unresolved").otherwise("external")

@@ -403,6 +403,133 @@ def python_facts(f):
     )
 
 
+def _code(f, extension: str, body):
+    """One file a part, and (p_partkey, facts)."""
+    files = f.t("part").select(F.concat(F.lit("p/"), F.col("p_partkey"), F.lit(extension)).alias("module"), body.alias("text"))
+    return _facts(files).withColumn("p_partkey", F.regexp_extract("module", r"(\d+)", 1).cast("long"))
+
+
+def _members(facts):
+    """(p_partkey, name, kind, visibility) of every declaration."""
+    return facts.select("p_partkey", F.explode("declarations").alias("d")).select("p_partkey", "d.name", "d.kind", "d.visibility")
+
+
+def _vis(a: str, b: str):
+    return F.when(F.col("p_size") % 2 == 0, a).otherwise(b)
+
+
+@query(
+    "typescript_members",
+    """select p_partkey, unnest([{'name': 'P' || p_partkey, 'kind': 'class', 'visibility': case when p_size % 2 = 0 then 'public' else 'fileLocal' end}, {'name': 'size', 'kind': 'property', 'visibility': 'private'},
+        {'name': 'area', 'kind': 'method', 'visibility': 'public'}], recursive := true) from part""",
+)
+def typescript_members(f):
+    """X16, X18."""
+    body = F.concat(_vis("export ", ""), F.lit("class P"), F.col("p_partkey"), F.lit(" {\n  private size = "), F.col("p_size"), F.lit(";\n  area(a: number): number { return this.size; }\n}\n"))
+    return _members(_code(f, ".ts", body))
+
+
+@query(
+    "typescript_roles",
+    "select p_partkey, unnest([{'name': 'go', 'role': 'call', 'bound': true}, {'name': 'n', 'role': case when p_size % 2 = 0 then 'write' else 'read' end, 'bound': true}, {'name': 'P', 'role': 'instantiate', 'bound': true}], recursive := true) from part",
+)
+def typescript_roles(f):
+    """Calls, compound writes and instantiations, bound in their file."""
+    body = F.concat(F.lit("class P {}\nlet n = 1;\nfunction go() { return 1; }\ngo();\nn "), _vis("+= 2", "- 2"), F.lit(";\nnew P();\n"))
+    return _code(f, ".ts", body).select("p_partkey", F.explode("references").alias("r")).select("p_partkey", "r.name", "r.role", F.col("r.targetId").isNotNull().alias("bound"))
+
+
+@query(
+    "csharp_members",
+    """select p_partkey, unnest([{'name': 'P' || p_partkey, 'kind': 'class', 'visibility': case when p_size % 2 = 0 then 'public' else 'internal' end}, {'name': 'size', 'kind': 'field', 'visibility': 'private'},
+        {'name': 'Area', 'kind': 'method', 'visibility': case when p_size % 2 = 0 then 'protected' else 'private' end}], recursive := true) from part""",
+)
+def csharp_members(f):
+    """X20."""
+    body = F.concat(_vis("public ", ""), F.lit("class P"), F.col("p_partkey"), F.lit(" {\n  int size = "), F.col("p_size"), F.lit(";\n  "), _vis("protected ", ""), F.lit("int Area(int a) { return size; }\n}\n"))
+    return _members(_code(f, ".cs", body))
+
+
+@query(
+    "kotlin_members",
+    "select p_partkey, unnest([{'name': 'P' || p_partkey, 'kind': 'class', 'visibility': case when p_size % 2 = 0 then 'internal' else 'public' end}, {'name': 'size', 'kind': 'property', 'visibility': 'private'}, {'name': 'area', 'kind': 'method', 'visibility': 'public'}], recursive := true) from part",
+)
+def kotlin_members(f):
+    """X21."""
+    body = F.concat(F.lit("package p\n"), _vis("internal ", ""), F.lit("class P"), F.col("p_partkey"), F.lit(" {\n  private val size = "), F.col("p_size"), F.lit("\n  fun area(): Int { return size }\n}\n"))
+    return _members(_code(f, ".kt", body))
+
+
+@query(
+    "gdscript_members",
+    "select p_partkey, unnest([{'name': 'size', 'kind': 'property', 'visibility': 'public'}, {'name': case when p_size % 2 = 0 then '_go' else 'go' end, 'kind': 'function', 'visibility': case when p_size % 2 = 0 then 'private' else 'public' end}], recursive := true) from part",
+)
+def gdscript_members(f):
+    """X22."""
+    body = F.concat(F.lit("extends Node\nvar size = "), F.col("p_size"), F.lit("\nfunc "), _vis("_go", "go"), F.lit("():\n\treturn size\n"))
+    return _members(_code(f, ".gd", body))
+
+
+@query("python_references", "select p_partkey, case when p_size % 2 = 0 then 'bound' else 'unbound' end as status, case when p_size % 2 = 0 then 'go' else 'gone' end as name from part")
+def python_references(f):
+    """A call that means the function above, and one that means nothing here."""
+    body = F.concat(F.lit("def go():\n    pass\n\n\ndef run():\n    "), _vis("go", "gone"), F.lit("()\n"))
+    return _code(f, ".py", body).select("p_partkey", F.explode("references").alias("r")).select("p_partkey", "r.status", "r.name")
+
+
+@query("yaml_facts", "select p_partkey, unnest([{'kind': 'string', 'value': p_name}, {'kind': 'number', 'value': cast(p_size as varchar)}, {'kind': 'boolean', 'value': case when p_size % 2 = 0 then 'true' else 'false' end}], recursive := true) from part")
+def yaml_facts(f):
+    """Scalars of two YAML documents in one file."""
+    body = F.concat(F.lit("name: "), "p_name", F.lit("\nsize: "), F.col("p_size"), F.lit("\n---\neven: "), _vis("true", "false"), F.lit("\n"))
+    return _code(f, ".yaml", body).select("p_partkey", F.explode("literals").alias("l")).select("p_partkey", "l.kind", "l.value")
+
+
+@query("jsonl_facts", "select p_partkey, unnest([p_name, cast(p_size as varchar)]) as value, case when p_size % 2 = 0 then 1 else 0 end as notes from part")
+def jsonl_facts(f):
+    """Records line by line, and a note where a file is lenient JSON."""
+    body = F.concat(F.lit('{"a": "'), "p_name", F.lit('"}\n{"a": '), F.col("p_size"), F.lit("}\n"))
+    lenient = F.concat(F.lit('{"a": 1'), _vis(" // odd\n", "\n"), F.lit("}"))
+    notes = _code(f, ".json", lenient).select("p_partkey", F.size("notes").alias("notes"))
+    return _code(f, ".jsonl", body).select("p_partkey", F.explode("literals").alias("l")).join(notes, "p_partkey").select("p_partkey", F.col("l.value").alias("value"), "notes")
+
+
+@query(
+    "resolved_candidates",
+    """select p_partkey, case when p_size % 3 = 0 then 'src/m' || p_partkey || '.ts' when p_size % 3 = 1 then 'src/m' || p_partkey || '/index.ts' end as target,
+        case when p_size % 3 < 2 then 'resolved' else 'unresolved' end as status, case when p_size % 3 = 2 then 'NotIndexed' end as reason from part""",
+)
+def resolved_candidates(f):
+    """The first candidate path of a relative specifier that is a module here."""
+    from lodestrata.operators.resolve import resolve_imports
+
+    k = F.col("p_partkey").cast("string")
+    imports = f.t("part").select("p_partkey", F.lit("src/app.ts").alias("module"), F.concat(F.lit("./m"), k).alias("specifier"))
+    target = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("src/m"), k, F.lit(".ts"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("src/m"), k, F.lit("/index.ts")))
+    return resolve_imports(imports, f.t("part").select(target.alias("module")).filter("module is not null")).select("p_partkey", "target", "status", "reason")
+
+
+@query(
+    "bound_across_files",
+    """select p_partkey, case p_size % 3 when 0 then 'bound' when 1 then 'ambiguous' else 'unbound' end as status, case p_size % 3 when 0 then 'sym' || p_partkey end as targetId,
+        case p_size % 3 when 1 then 'Ambiguous' when 2 then 'ExternalDependency' end as reason from part""",
+)
+def bound_across_files(f):
+    """An imported name bound to its one declaration, to none of two, or put down to a dependency."""
+    from lodestrata.operators.resolve import bind_across
+
+    k, kind = F.col("p_partkey").cast("string"), F.col("p_size") % 3
+    none = F.lit(None).cast("string")
+    part = f.t("part")
+    refs = part.select(
+        "p_partkey", F.concat(F.lit("m"), k).alias("module"), F.lit("go").alias("name"), F.lit("unbound").alias("status"), none.alias("targetId"), F.array().cast("array<string>").alias("candidates"),
+        none.alias("provenance"), F.lit("NotIndexed").alias("reason"),
+    )
+    resolved = part.select(F.concat(F.lit("m"), k).alias("module"), F.lit("go").alias("name"), none.alias("localName"), F.when(kind < 2, F.concat(F.lit("t"), k)).alias("target"), F.when(kind < 2, "resolved").otherwise("external").alias("status"))
+    one = lambda s: part.filter(kind < 2).select(F.concat(F.lit("t"), k).alias("module"), F.lit("go").alias("name"), F.concat(F.lit(s), k).alias("symbolId"), none.alias("containerId"), kind.alias("kind"))
+    symbols = one("sym").union(one("twin").filter("kind = 1"))
+    return bind_across(refs, resolved, symbols).select("p_partkey", "status", "targetId", "reason")
+
+
 @query(
     "attached_comments",
     "select p_partkey, case p_partkey % 3 when 0 then 'leading' when 1 then 'trailing' else 'standalone' end as form, case when p_partkey % 3 < 2 then 'part_' || p_partkey end as anchor from part",

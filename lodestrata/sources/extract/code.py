@@ -8,6 +8,7 @@ where exactly one has the name, ambiguous where several do.
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 
@@ -60,6 +61,12 @@ LANGUAGES = {
 }
 # Words that are followed by a parenthesis without being called. Fixed values.
 _NOT_CALLS = frozenset("if for while switch catch return function fun fn func match when using lock foreach sizeof typeof await new throw super this else do in is as not and or elif assert".split())
+# Words that may stand before a declaration and say nothing about its visibility, and lines that import. Fixed values.
+_BESIDE = frozenset("export default static abstract async declare readonly final open data sealed override virtual inline unsafe extern partial const volatile mutable required new constexpr lateinit".split())
+_STATEMENTS = {
+    "kotlin": r"^[ \t]*(?:package|import)\b[^\n]*", "csharp": r"^[ \t]*(?:global[ \t]+)?using\b[^\n(]*;", "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use\b[^;]*;",
+    "typescript": r"^[ \t]*import\b[^;\n(]*", "c": r"^[ \t]*#[^\n]*", "cpp": r"^[ \t]*#[^\n]*",
+}
 _HOLDS = {"class": "type", "interface": "type", "enum": "type", "struct": "type", "namespace": "namespace", "module": "namespace"}
 _WORD = re.compile(r"[^\W\d]\w*")
 _NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F_']+|0[bB][01_']+|0[oO][0-7_]+|(?:\d[\d_']*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)\w*")
@@ -166,6 +173,14 @@ def parse(facts) -> None:
         held = [o for o in owner if o[0] <= at < o[1]]
         return max(held, key=lambda o: o[0], default=None)
 
+    levels = _levels(ts)
+    starts = [t.start for t in ts]
+    labels: dict[str, str] = {}  # the access label that holds now, by class
+
+    def directly(i: int, outer) -> bool:
+        """Token i stands in the body of ``outer`` itself, or of the file: in no block, bracket or parameter list inside it."""
+        return levels[i] == ((levels[bisect.bisect_left(starts, outer[0])][0] + 1, 0) if outer else (0, 0))
+
     i = 0
     while i < len(ts):
         t = ts[i]
@@ -184,16 +199,24 @@ def parse(facts) -> None:
             nxt = ts[close + 1].text if close + 1 < len(ts) else ""
             outer = around(t.start)
             typed = lang.typed_functions and before and (before.kind == "word" and before.text not in _NOT_CALLS | {"return", "new"} or before.text in "*&>]")
-            method = facts.language == "typescript" and outer and outer[4] in ("class", "interface") and _depth_ok(ts, pairs, i, outer) and (nxt in ("{", ":", ";"))
+            method = facts.language == "typescript" and outer and outer[4] in ("class", "interface") and directly(i, outer) and (nxt in ("{", ":", ";"))
             if typed and nxt in ("{", ";", "=", ":", "const", "noexcept", "override", "where") and (outer is None or outer[4] in _HOLDS) or method:
                 name, k, kind = t, i, "function"
+        elif after and t.text in lang.modifiers and after.text == ":" and facts.language == "cpp" and (outer := around(t.start)):
+            labels[outer[2]] = lang.modifiers[t.text]
+        elif after and after.kind == "mark" and before and not (kind or t.text in lang.modifiers or t.text in _BESIDE or t.text in _NOT_CALLS):
+            outer = around(t.start)
+            if field_ := _field_kind(facts.language, before, after, outer, lang):
+                if directly(i, outer):
+                    name, k, kind = t, i, field_
         if name is None:
             i += 1
             continue
         outer = around(name.start)
         inside_function = outer is not None and outer[4] in ("function", "method")
         if inside_function and kind in ("variable", "constant", "property"):
-            i = k + 1  # a local
+            declared_at.add(name.start)  # a local
+            i = k + 1
             continue
         if outer and outer[4] in ("class", "interface", "struct", "enum") and kind in ("function", "variable"):
             kind = "method" if kind == "function" else "property"
@@ -201,11 +224,15 @@ def parse(facts) -> None:
             kind = "constructor"
         words = []
         j = i - 1
-        while j >= 0 and ts[j].kind == "word" and (ts[j].text in lang.modifiers or ts[j].text in ("export", "default", "static", "abstract", "async", "declare", "readonly", "final", "open", "data", "sealed", "override", "virtual", "inline", "unsafe", "extern", "partial")):
+        ahead = lambda j: ts[j].kind == "word" and (ts[j].text in lang.modifiers or ts[j].text in _BESIDE)
+        if lang.typed_functions and name is t:  # the type stands between the modifiers and the name
+            while j >= 0 and not ahead(j) and (ts[j].kind == "word" and ts[j].text not in _NOT_CALLS or ts[j].text in "<>[],.?*&" or ts[j].text == ":" and ts[j - 1].text == ":" or ts[j].text == ":" and j + 1 < i and ts[j + 1].text == ":"):
+                j -= 1
+        while j >= 0 and ahead(j):
             words.append(ts[j].text)
             j -= 1
         start = ts[j + 1].start
-        body = _body(ts, pairs, k)
+        body = _field_end(ts, pairs, k) if kind == "field" and facts.language == "rust" else _body(ts, pairs, k)
         end = ends(name.start) if ends else body[1]
         descriptor = Descriptor("method" if kind in ("function", "method", "constructor") else _HOLDS.get(kind, "term"), name.text)
         path = (*(outer[3] if outer else ()), descriptor)
@@ -218,7 +245,8 @@ def parse(facts) -> None:
         elif facts.language == "gdscript":
             visible = "private" if name.text.startswith("_") else "public"
         else:
-            visible = visible or (("public" if outer[4] in ("interface", "enum") else lang.member_default) if member else lang.default)
+            usual = "private" if facts.language == "cpp" and outer and outer[4] == "class" else lang.member_default
+            visible = visible or (("public" if outer[4] in ("interface", "enum") else labels.get(outer[2], usual)) if member else lang.default)
             exported = visible in ("public", "internal") and not inside_function
         head = facts.text[start : body[0] if body[0] > start else end].split("\n", 1)[0].strip()
         lines = facts.text.count("\n", start, end) + 1
@@ -245,9 +273,15 @@ def parse(facts) -> None:
         facts.refer(trait.text, "implements", trait.start, trait.end, theirs[0] if len(theirs) == 1 else None, mine[0] if len(mine) == 1 else None)
     _imports(facts, lang)
     taken = [(x["startLine"], x["startChar"]) for x in facts.imports]
+    statements = [m.span() for m in re.finditer(_STATEMENTS[facts.language], facts.text, re.M)] if facts.language in _STATEMENTS else []
+    heads = [a for a, _ in statements]
+    waiting, open_ = sorted(owner, key=lambda o: (o[0], -o[1]), reverse=True), []
     for i, t in enumerate(ts):
-        outer = around(t.start)
-        origin = outer[2] if outer else None
+        while waiting and waiting[-1][0] <= t.start:
+            open_.append(waiting.pop())
+        while open_ and open_[-1][1] <= t.start:
+            open_.pop()
+        origin = next((o[2] for o in reversed(open_) if t.start < o[1]), None)
         if t.kind == "string" and t.text and not _is_import(facts, t, taken):
             if not ("`" == facts.text[t.start] and "${" in t.text):
                 facts.literal(decode_string(t.text), t.start, t.end, origin)
@@ -258,6 +292,9 @@ def parse(facts) -> None:
         elif t.kind == "word" and t.text in ("true", "false"):
             facts.literal(t.text == "true", t.start, t.end, origin)
         elif t.kind == "word" and t.start not in declared_at and t.text not in lang.kinds and t.text not in lang.modifiers and t.text not in _NOT_CALLS:
+            at = bisect.bisect_right(heads, t.start) - 1
+            if at >= 0 and t.start < statements[at][1]:
+                continue  # part of an import, which is a fact of its own
             _reference(facts, ts, i, names, origin)
 
 
@@ -289,13 +326,35 @@ def _impl_blocks(facts, ts: list[Token], pairs: dict[int, int], owner: list, imp
         owner.append((t.start, ts[pairs[j]].end, facts.symbol(*path), path, "struct"))
 
 
-def _depth_ok(ts, pairs, i, outer) -> bool:
-    """Directly in the class body, not in one of its methods."""
-    depth = 0
-    for t in ts[:i]:
-        if t.start >= outer[0]:
-            depth += (t.text == "{") - (t.text == "}")
-    return depth == 1
+def _levels(ts: list[Token]) -> list[tuple[int, int]]:
+    """(open braces, open parentheses and brackets) before each token."""
+    out, braces, others = [], 0, 0
+    for t in ts:
+        if t.kind == "mark" and t.text in "}])":
+            braces, others = braces - (t.text == "}"), others - (t.text != "}")
+        out.append((braces, others))
+        if t.kind == "mark" and t.text in "{[(":
+            braces, others = braces + (t.text == "{"), others + (t.text != "{")
+    return out
+
+
+def _field_kind(language: str, before: Token, after: Token, outer, lang: Language) -> str | None:
+    """What a word declares without a keyword, judged by its neighbours: a field, a property, a variable, or nothing."""
+    kind = outer[4] if outer else None
+    if language == "typescript":
+        if kind in ("class", "interface") and after.text in (":", "=", ";", "?", "!") and (before.text in ("{", ";", "}", ",") or before.text in lang.modifiers or before.text in _BESIDE):
+            return "property"
+    elif language == "rust":
+        if kind == "struct" and after.text == ":" and (before.text in ("{", ",", ")", "]") or before.text in lang.modifiers):
+            return "field"
+    elif language in ("csharp", "cpp", "c") and (before.kind == "word" and before.text not in _NOT_CALLS and before.text not in lang.kinds and before.text not in lang.modifiers and before.text not in _BESIDE - {"const"} or before.text in (">", "]", "*", "&", "?")):
+        if kind in ("class", "struct", "interface") and after.text in ("=", ";", ","):
+            return "field"
+        if language == "csharp" and kind in ("class", "struct", "interface") and after.text == "{":
+            return "property"
+        if language != "csharp" and outer is None and after.text in ("=", ";", "["):
+            return "variable"
+    return None
 
 
 def _body(ts: list[Token], pairs: dict[int, int], k: int) -> tuple[int, int]:
@@ -319,6 +378,15 @@ def _body(ts: list[Token], pairs: dict[int, int], k: int) -> tuple[int, int]:
     return end, end
 
 
+def _field_end(ts: list[Token], pairs: dict[int, int], k: int) -> tuple[int, int]:
+    """A field that ends at a comma outside all brackets, or with its block."""
+    j, angle = k + 1, 0
+    while j < len(ts) and not (ts[j].text == "}" or ts[j].text == "," and angle <= 0):
+        angle += (ts[j].text == "<") - (ts[j].text == ">" and ts[j - 1].text != "-")
+        j = pairs.get(j, j) + 1
+    return ts[j - 1].end, ts[j - 1].end
+
+
 def _parameters(ts: list[Token], pairs: dict[int, int], at: int) -> int:
     depth, commas, any_ = 0, 0, False
     for t in ts[at + 1 : pairs[at]]:
@@ -335,8 +403,6 @@ def _indent_ends(facts):
         at += len(line) + 1
 
     def end(offset: int) -> int:
-        import bisect
-
         n = bisect.bisect_right(starts, offset) - 1
         indent = len(lines[n]) - len(lines[n].lstrip())
         last = n
@@ -374,15 +440,22 @@ def _is_import(facts, t: Token, taken: list) -> bool:
 def _reference(facts, ts: list[Token], i: int, names: dict[str, list[str]], origin: str | None) -> None:
     t = ts[i]
     before, after = ts[i - 1].text if i else "", ts[i + 1].text if i + 1 < len(ts) else ""
-    member = before in (".", "->")
+    member = before in (".", "->") or before == ">" and i > 1 and ts[i - 2].text == "-"
+    if LANGUAGES[facts.language].typed_functions and after in ("=", ";") and i and ts[i - 1].kind == "word" and before not in _NOT_CALLS:
+        return  # a local variable behind its type
+    then = ts[i + 2].text if i + 2 < len(ts) else ""
     if before == "new":
         role = "instantiate"
+    elif before == "impl":
+        role = "typeUse"
     elif before in ("extends", "implements"):
         role = before
     elif after == "(":
         role = "call"
-    elif after == "=" and (i + 2 >= len(ts) or ts[i + 2].text not in ("=", ">")):
+    elif after == "=" and then not in ("=", ">"):
         role = "write"
+    elif after in ("+", "-", "*", "/", "%", "&", "|", "^") and then == "=" or after in ("+", "-") and then == after or before in ("+", "-") and i > 1 and ts[i - 2].text == before:
+        role = "write"  # compound assignment, increment, decrement
     elif t.text in names or member:
         role = "read"
     else:

@@ -46,7 +46,7 @@ def test_python():
 
 CODE = {
     "a.ts": ("import { x as y } from './m';\nexport class K extends B {\n  go(n: number) { return help(n); }\n}\nfunction help(n) { return 'q'; } // t\n", [("K#", "class"), ("K#go().", "method"), ("help().", "function")]),
-    "a.rs": ("use std::io;\npub fn add(a: i32) -> i32 { help(a) }\nfn help(a: i32) -> i32 { a + 0x10 }\nstruct S { x: i32 }\n", [("add().", "function"), ("help().", "function"), ("S#", "struct")]),
+    "a.rs": ("use std::io;\npub fn add(a: i32) -> i32 { help(a) }\nfn help(a: i32) -> i32 { a + 0x10 }\nstruct S { x: i32 }\n", [("add().", "function"), ("help().", "function"), ("S#", "struct"), ("S#x.", "field")]),
     "a.kt": ("import a.b\nclass K { fun go(x: Int) = help(x) }\nprivate fun help(x: Int) = 3\n", [("K#", "class"), ("K#go().", "method"), ("help().", "function")]),
     "a.cs": ("using System;\nnamespace N { public class C { int Go(int a) { return Help(a); } int Help(int a) { return 1; } } }\n", [("N/", "namespace"), ("N/C#", "class"), ("N/C#Go().", "method"), ("N/C#Help().", "method")]),
     "a.cpp": ("#include <x>\nclass C { int go(int a) { return help(a); } };\nint help(int a) { return 1; }\n", [("C#", "class"), ("C#go().", "method"), ("help().", "function")]),
@@ -65,9 +65,28 @@ def test_code(module):
     assert parse_file(module, text + "\n/* open" if module != "a.gd" else "var s = 'open").error
 
 
+MEMBERS = {
+    "a.ts": ("import { x as y } from './m';\nexport class P extends Q {\n  private size = 11;\n  name?: string;\n  area(a: number): number { const z = { q: 1 }; this.size += 2; return y(a); }\n}\nlet v = 1;\nv++;\n", [("P", "class", "public"), ("size", "property", "private"), ("name", "property", "public"), ("area", "method", "public"), ("v", "variable", "fileLocal")], {"size": "write", "v": "write", "y": "call"}),
+    "a.rs": ("use crate::m::x;\npub struct P { pub size: Map<u8, u32>, n: u8 }\nimpl P { pub fn area(&self) -> u32 { x(1) } }\n", [("P", "struct", "public"), ("size", "field", "public"), ("n", "field", "private"), ("area", "method", "public")], {"P": "typeUse", "x": "call"}),
+    "a.kt": ("package p.q\nimport a.b.c\nclass P { private val size = 1\n fun area(): Int { return size } }\n", [("P", "class", "public"), ("size", "property", "private"), ("area", "method", "public")], {"size": "read"}),
+    "a.cs": ("using System;\nclass P { private int size = 1; public List<int> Names { get; set; } public int Area(int a) { int loc = 3; return size; } int Hid() { return 1; } }\n", [("P", "class", "internal"), ("size", "field", "private"), ("Names", "property", "public"), ("Area", "method", "public"), ("Hid", "method", "private")], {"size": "read"}),
+    "a.c": ("#include \"m.h\"\nstatic int size = 1;\nstruct S { int a; char *b; };\nstatic int area(int c) { int q = 1; return size; }\n", [("size", "variable", "fileLocal"), ("S", "struct", "public"), ("a", "field", "public"), ("b", "field", "public"), ("area", "function", "fileLocal")], {"size": "read"}),
+    "a.cpp": ("class P { int hid; public: int shown = 2; int area(int a) { return shown; } private: std::string s; };\n", [("P", "class", "public"), ("hid", "field", "private"), ("shown", "field", "public"), ("area", "method", "public"), ("s", "field", "private")], {"shown": "read"}),
+}
+
+
+@pytest.mark.parametrize("module", MEMBERS)
+def test_members_visibility_and_roles(module):
+    text, want, roles = MEMBERS[module]
+    f = parse_file(module, text)
+    assert f.error is None and [(d["name"], d["kind"], d["visibility"]) for d in f.declarations] == want
+    got = {r["name"]: r["role"] for r in f.references}
+    assert {n: got.get(n) for n in roles} == roles and not set(got) & {"loc", "q", "b", "c", "z", "System"}
+
+
 def test_rust_impls():
     f = parse_file("a.rs", "struct S<T> { x: T }\ntrait Go { fn go(&self); }\nimpl<T: Copy> Go for S<T> where T: Eq { fn go(&self) { helper(); } }\nimpl Other { fn f() {} }\nfn helper() {}\n")
-    assert [(i, d["containerId"] and d["containerId"].split(" ")[-1]) for (i, _), d in zip(names(f), f.declarations)] == [("S#", None), ("Go#", None), ("Go#go().", "Go#"), ("S#go().", "S#"), ("Other#f().", None), ("helper().", None)]
+    assert [(i, d["containerId"] and d["containerId"].split(" ")[-1]) for (i, _), d in zip(names(f), f.declarations)] == [("S#", None), ("S#x.", "S#"), ("Go#", None), ("Go#go().", "Go#"), ("S#go().", "S#"), ("Other#f().", None), ("helper().", None)]
     assert [(r["name"], r["targetId"].split(" ")[-1], r["fromId"].split(" ")[-1]) for r in f.references if r["role"] == "implements"] == [("Go", "Go#", "S#")]
 
 
