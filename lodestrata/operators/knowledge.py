@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestrata.functions.ids import fact_id, parse_fact
+from lodestrata.functions.ids import fact_id, fact_id_column, parse_fact
 from lodestrata.operators.graph import kept
 from lodestrata.schema import QUESTIONS
 
@@ -160,6 +160,82 @@ def check_answer(subject: str, question: str, prose: str, citations: list[str],
     return None
 
 
+def judge(proposed: DataFrame, facts: DataFrame, subjects: DataFrame, held: DataFrame) -> DataFrame:
+    """The rules of writing over a table: proposed answers (symbolId, question, prose, citations[, omitting, doubt]) with the
+    first rule each breaks in ``refused``, null if it may be written.
+
+    facts (factId) is what resolves; subjects (symbolId, factId) says which facts are about a symbol; held is the answers
+    table.  One write of a batch judges all its rows against what was held before.
+    """
+    key = ["symbolId", "question"]
+    have = set(proposed.columns)
+    text = lambda c: (F.col(c) if c in have else F.lit(None)).cast("string").alias(c)
+    rows = proposed.select(*key, "prose", "citations", text("omitting"), text("doubt"))
+    cites = rows.select(*key, F.explode(F.array_distinct("citations")).alias("factId"))
+    known = facts.select("factId").distinct().withColumn("_live", F.lit(True))
+    about = subjects.select("symbolId", "factId").distinct().withColumn("_about", F.lit(True))
+    met = cites.join(known, "factId", "left").join(about, ["symbolId", "factId"], "left").groupBy(*key).agg(
+        F.min(F.when(F.col("_live").isNull(), F.col("factId"))).alias("_gone"), F.bool_or(F.coalesce("_about", F.lit(False))).alias("_about")
+    )
+    old = held.select(*key, F.col("doubtId").alias("_doubt"), F.col("citations").alias("_old"))
+    was = old.select(*key, F.explode("_old").alias("factId")).join(known, "factId", "left").groupBy(*key).agg(F.bool_and(F.coalesce("_live", F.lit(False))).alias("_all"))
+    joined = rows.join(met, key, "left").join(old, key, "left").join(was, key, "left")
+    left = F.array_min(F.array_except("_old", "citations"))
+    standing = F.col("_all") & F.col("_doubt").isNull() & (F.coalesce("omitting", F.lit("")) == "")
+    refused = (
+        F.when(~F.col("question").isin(*QUESTIONS), F.concat(F.lit("unknown question "), "question"))
+        .when(F.trim(F.coalesce("prose", F.lit(""))) == "", "an answer needs prose")
+        .when(F.length("prose") > MAX_PROSE, f"an answer has at most {MAX_PROSE} characters")
+        .when(F.size(F.coalesce("citations", F.array().cast("array<string>"))) == 0, "an answer cites at least one fact")
+        .when(F.col("_gone").isNotNull(), F.concat(F.lit("does not resolve: "), "_gone"))
+        .when(~F.coalesce("_about", F.lit(False)), F.concat(F.lit("no cited fact is about "), "symbolId"))
+        .when(F.col("doubt").isNotNull() & ~F.col("doubt").eqNullSafe(F.col("_doubt")), "the doubt cited is not the answer's")
+        .when(F.coalesce(standing, F.lit(False)) & left.isNotNull(), F.concat(F.lit("leaves out a live citation: "), left))
+    )
+    return joined.select(*rows.columns, refused.alias("refused"))
+
+
+def record(lake, proposed: DataFrame, facts: DataFrame, subjects: DataFrame, at: int, thin_below: int = 2) -> DataFrame:
+    """Write the answers that may be written, each over the one held for its subject and question; returns what was judged.
+
+    A doubt that the new answer doesn't cite rides on.
+    """
+    held = lake.read("answers")
+    judged = kept(judge(proposed, facts, subjects, held))
+    good = judged.filter("refused is null").dropDuplicates(["symbolId", "question"])
+    carried = held.select("symbolId", "question", F.struct("doubtId", "doubtReason", "doubtAt", "doubtBy").alias("_d"))
+    rides = F.col("_d.doubtId").isNotNull() & ~F.col("_d.doubtId").eqNullSafe(F.col("doubt"))
+    rows = good.join(carried, ["symbolId", "question"], "left").select(
+        "symbolId", "question", fact_id_column("answer", F.element_at(F.split("symbolId", " "), 3), "symbolId", "question", "prose", F.array_join("citations", ",")).alias("factId"), "prose", "citations",
+        (F.size(F.array_distinct("citations")) < thin_below).alias("thin"), F.lit(at).cast("long").alias("createdAt"), *(F.when(rides, F.col(f"_d.{c}")).alias(c) for c in ("doubtId", "doubtReason", "doubtAt", "doubtBy")),
+    )
+    lake.upsert("answers", kept(rows))
+    return judged
+
+
+def invalidate(lake, doubts: DataFrame) -> tuple[int, int]:
+    """Cast doubt on answers that exist: (symbolId, question, doubtReason, doubtBy, doubtAt); the doubt's id is of its content."""
+    module = F.element_at(F.split("symbolId", " "), 3)
+    return lake.set_doubt(doubts.withColumn("doubtId", fact_id_column("doubt", module, "symbolId", "question", "doubtReason", "doubtBy", F.col("doubtAt").cast("string"))))
+
+
+def reaffirm(lake, answers: DataFrame) -> tuple[int, int]:
+    """Lift the doubts (symbolId, question, doubtId) that are the ones held; (version, answers affected)."""
+    same = lake.read("answers").join(answers.select("symbolId", "question", F.col("doubtId").alias("_d")), ["symbolId", "question"]).filter("doubtId = _d")
+    none = F.lit(None).cast("string")
+    return lake.set_doubt(same.select("symbolId", "question", none.alias("doubtId"), none.alias("doubtReason"), F.lit(None).cast("long").alias("doubtAt"), none.alias("doubtBy")))
+
+
+def recall(answers: DataFrame, facts: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """Answers, of the symbols in ``subjects`` if given, with how far they can be trusted: live and gone citations, doubt."""
+    asked = answers if subjects is None else answers.join(subjects.select("symbolId").distinct(), "symbolId", "left_semi")
+    cites = asked.select("symbolId", "question", F.explode("citations").alias("factId")).join(facts.select("factId").distinct().withColumn("_live", F.lit(1)), "factId", "left")
+    n = cites.groupBy("symbolId", "question").agg(F.count("_live").alias("live"), F.count_if(F.col("_live").isNull()).alias("gone"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    state = F.when(F.col("doubtId").isNotNull(), "doubted").when(F.coalesce("gone", F.lit(0)) > 0, "stale").otherwise("standing")
+    return asked.join(n, ["symbolId", "question"], "left").select("symbolId", "question", "prose", "thin", zero("live"), zero("gone"), state.alias("state"))
+
+
 def answer_row(subject: str, module: str, question: str, prose: str, citations: list[str], at: int, model: str | None = None, thin_below: int = 2, incumbent: dict | None = None, doubt: str | None = None) -> dict:
     """A row of ``answers``: identity over subject, question, prose and citations; a doubt not cited rides on."""
     carried = incumbent if incumbent and incumbent.get("doubtId") and incumbent["doubtId"] != doubt else {}

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.functions.coordinates import Coordinates, Edit, apply_edits
+from lodestrata.operators.graph import kept
+from lodestrata.schema import schema
 
 
 def increases(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -251,6 +253,34 @@ class Journal:
                     out[m] = "after" if now == after else "before" if now == before else "changed"
         return out
 
+    def save(self, lake, id_: str, at: int) -> None:
+        """Write the transaction to the lake's ``refactor_*`` tables; blobs first, so that what is named exists."""
+        spark = lake.spark
+        make = lambda rows, table: spark.createDataFrame(rows, schema(table))
+        lake.insert_absent("refactor_blobs", make([(h, bytearray(b)) for h, b in self.blobs.items()], "refactor_blobs"))
+        images = [(id_, "step", s["stepNo"], m, b is not None, b, a is not None, a) for s in self.steps for m, (b, a) in s["images"].items()]
+        for table, rows in (
+            ("refactor_images", images), ("refactor_steps", [(id_, s["stepNo"], s["kind"], s["phase"], None, at) for s in self.steps]), ("refactor_transactions", [(id_, self.state, at)]),
+        ):
+            column = "id" if table == "refactor_transactions" else "transactionId"
+            others = kept(lake.read(table).filter(F.col(column) != id_))  # steps that were undone go
+            lake.write_table(table, others.unionByName(make(rows, table)))
+
+    @classmethod
+    def load(cls, lake, id_: str, files: dict[str, bytes]) -> Journal:
+        """The transaction as it was last saved, over the files as they are now; ``recover`` tells what a crash left."""
+        mine = lambda table, column="transactionId": lake.read(table).filter(F.col(column) == id_).collect()
+        state = mine("refactor_transactions", "id")
+        if not state:
+            raise ValueError(f"no transaction {id_}")
+        images: dict[int, dict] = {}
+        for r in mine("refactor_images"):
+            images.setdefault(r.stepNo, {})[r.module] = (r.beforeHash, r.afterHash)
+        steps = [{"stepNo": r.stepNo, "kind": r.kind, "phase": r.phase, "images": images.get(r.stepNo, {})} for r in sorted(mine("refactor_steps"), key=lambda r: r.stepNo)]
+        wanted = [h for i in images.values() for pair in i.values() for h in pair if h]
+        blobs = {r.hash: bytes(r.bytes) for r in lake.read("refactor_blobs").filter(F.col("hash").isin(wanted)).collect()} if wanted else {}
+        return cls(files, blobs, steps, [], state[0].state)
+
     def prune(self) -> None:
         used = {h for s in self.steps for pair in s["images"].values() for h in pair if h}
         self.blobs = {h: b for h, b in self.blobs.items() if h in used}

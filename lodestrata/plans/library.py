@@ -637,6 +637,72 @@ def outline_then_upgrade(f):
     return f.spark.createDataFrame([(outlined, first, pending, lake.read("literals").count(), lake.pending(files).count())], "outlined long, literalsFirst long, pending long, literals long, pendingLast long")
 
 
+# ---- knowledge ---------------------------------------------------------------------------------------------------------
+
+
+def _proposals(f):
+    """Answers proposed from conversations: a turn answers why its conversation is, citing the turn before and itself."""
+    at = F.format_string("%d:%d", "conv_id", "turn")
+    before = F.format_string("%d:%d", F.col("conv_id"), F.col("turn") - 1)
+    question = F.when(F.col("turn") % 5 == 4, "guess").otherwise(F.concat(F.lit("q"), F.col("turn").cast("string")))
+    return f.t("conversations").select(
+        F.concat(F.lit("sym conv m"), F.col("conv_id").cast("string"), F.lit(" c.")).alias("symbolId"), F.when(F.col("turn") == 1, "why").when(F.col("turn") == 2, "usage").otherwise(question).alias("question"),
+        F.when(F.col("conv_id") % 7 == 0, "").otherwise("because").alias("prose"), F.when(F.col("conv_id") % 5 == 0, F.array(before)).otherwise(F.array(before, at)).alias("citations"), "turn", "conv_id",
+    ).filter("turn in (1, 2, 4)")
+
+
+_PROPOSED = """p as (select conv_id, turn, case turn when 1 then 'why' when 2 then 'usage' else 'guess' end as question from conversations where turn in (1, 2, 4)),
+ x as (select p.*, exists (select 1 from conversations c where c.conv_id = p.conv_id and c.turn = p.turn - 1 and c.role = 'user') as before, exists (select 1 from conversations c where c.conv_id = p.conv_id and c.turn = p.turn and c.role = 'user') as own from p),
+ j as (select *, case when question = 'guess' then 'unknown question guess' when conv_id % 7 = 0 then 'an answer needs prose' when not before then 'does not resolve: ' || conv_id || ':' || (turn - 1)
+  when conv_id % 5 <> 0 and not own then 'does not resolve: ' || conv_id || ':' || turn when conv_id % 3 = 0 then 'no cited fact is about sym conv m' || conv_id || ' c.' end as refused from x)"""
+
+
+def _known(f):
+    facts = f.t("conversations").filter("role = 'user'").select(F.format_string("%d:%d", "conv_id", "turn").alias("factId"), "conv_id")
+    subjects = facts.filter("conv_id % 3 <> 0").select(F.concat(F.lit("sym conv m"), F.col("conv_id").cast("string"), F.lit(" c.")).alias("symbolId"), "factId")
+    return facts.select("factId"), subjects
+
+
+@query("judged_answers", f"with {_PROPOSED} select 'sym conv m' || conv_id || ' c.' as symbolId, question, refused from j")
+def judged_answers(f):
+    """The rules of writing, over a table of proposed answers."""
+    from lodestrata.operators import knowledge
+
+    proposed = _proposals(f)
+    facts, subjects = _known(f)
+    return knowledge.judge(proposed, facts, subjects, FactLake(f.spark, _fresh(f, "lake")).read("answers")).select("symbolId", "question", "refused")
+
+
+@query(
+    "recorded_answers",
+    f"with {_PROPOSED} select 'sym conv m' || conv_id || ' c.' as symbolId, question, case when conv_id % 5 = 0 then 1 else 2 end as live, case when conv_id % 4 = 0 and conv_id % 8 <> 0 then 'doubted' else 'standing' end as state from j where refused is null",
+)
+def recorded_answers(f):
+    """Answers recorded, every fourth conversation's doubted, every eighth's reaffirmed, and recalled."""
+    from lodestrata.operators import knowledge
+
+    lake, (facts, subjects) = FactLake(f.spark, _fresh(f, "lake")), _known(f)
+    knowledge.record(lake, _proposals(f), facts, subjects, at=1)
+    conv = F.regexp_extract("symbolId", r"m(\d+)", 1).cast("long")
+    some = lake.read("answers").filter(conv % 4 == 0).select("symbolId", "question", F.lit("changed").alias("doubtReason"), F.lit("me").alias("doubtBy"), F.lit(2).cast("long").alias("doubtAt"))
+    knowledge.invalidate(lake, some)
+    knowledge.reaffirm(lake, lake.read("answers").filter((conv % 8 == 0) & F.col("doubtId").isNotNull()))
+    return knowledge.recall(lake.read("answers"), facts).select("symbolId", "question", F.col("live").cast("int").alias("live"), "state")
+
+
+@query("journal_recovered", "select 'm' || n_nationkey as module, case when n_nationkey % 3 = 0 then 'after' when n_nationkey % 3 = 1 then 'before' else 'changed' end as found from nation")
+def journal_recovered(f):
+    """A step that a crash cut short, read back from the lake and compared with the files that it left."""
+    lake, n = FactLake(f.spark, _fresh(f, "lake")), f.t("nation").count()
+    journal = refactor.Journal({f"m{i}": b"old %d" % i for i in range(n)})
+    journal.start()
+    journal.step("rename", {f"m{i}": b"new %d" % i for i in range(n)})
+    journal.steps[-1]["phase"] = "written"
+    journal.save(lake, "t1", at=1)
+    left = {f"m{i}": (b"new %d", b"old %d", b"other %d")[i % 3] % i for i in range(n)}
+    return f.spark.createDataFrame(sorted(refactor.Journal.load(lake, "t1", left).recover().items()), "module string, found string")
+
+
 # ---- pages -------------------------------------------------------------------------------------------------------------
 
 
