@@ -215,11 +215,11 @@ def rows_by_module(f):
     return read.by_module(f.parts, "name", "symbolId").select("module", F.size("rows").cast("long").alias("n"), F.col("rows")[0]["name"].alias("first"))
 
 
-@query("new_ids", "select distinct l_partkey as symbolId from lineitem where l_linenumber > 3 and l_partkey not in (select l_partkey from lineitem where l_linenumber <= 3)")
+@query("new_ids", "select distinct l_partkey as symbolId from lineitem where l_linenumber = 7 and l_partkey not in (select l_partkey from lineitem where l_linenumber = 1)")
 def new_ids(f):
     """U4."""
     at = lambda c: f.t("lineitem").filter(c).select(F.col("l_partkey").alias("symbolId"))
-    return refactor.new_ids(at("l_linenumber <= 3"), at("l_linenumber > 3"))
+    return refactor.new_ids(at("l_linenumber = 1"), at("l_linenumber = 7"))
 
 
 # ---- graph -------------------------------------------------------------------------------------------------------------
