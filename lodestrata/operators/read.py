@@ -236,10 +236,20 @@ def by_module(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("module").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
 
 
+#: Lines of a bin: interval joins meet by (module, bin), so a large module is not one group of points times spans.
+BIN = 1024
+
+
+def bins(first: str, last: str) -> Column:
+    """The bins that a range of lines touches."""
+    at = lambda c: F.floor(F.col(c) / BIN)
+    return F.when(F.col(first) <= F.col(last), F.sequence(at(first), at(last)))
+
+
 def innermost(points: DataFrame, spans: DataFrame, key: str = "module") -> DataFrame:
     """The tightest span that holds a position: points (id, key, line, char), spans (symbolId, key, 4 x span)."""
     at, start, end = F.struct("line", "char"), F.struct("startLine", "startChar"), F.struct("endLine", "endChar")
-    held = points.join(spans, key).filter((start <= at) & (at <= end))
+    held = points.withColumn("_bin", F.floor(F.col("line") / BIN)).join(spans.withColumn("_bin", F.explode(bins("startLine", "endLine"))), [key, "_bin"]).filter((start <= at) & (at <= end))
     tight = F.struct("startLine", "startChar", (-F.col("endLine")).alias("x"), (-F.col("endChar")).alias("y"), "symbolId")
     return held.groupBy("id").agg(F.max_by("symbolId", tight).alias("symbolId"))
 

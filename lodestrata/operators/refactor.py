@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.functions.coordinates import Coordinates, Edit, apply_edits
 from lodestrata.operators.graph import kept
+from lodestrata.operators.read import BIN, bins
 from lodestrata.schema import schema
 
 
@@ -52,10 +53,11 @@ def would_collide(symbols: DataFrame, touched: DataFrame, new_name: str) -> Data
 
 
 def refs_inside(refs: DataFrame, body: DataFrame) -> DataFrame:
-    """References whose start lies in the body's range, end left out: an interval join inside a module."""
+    """References whose start lies in the body's range, end left out: an interval join inside a bin of a module."""
     at = F.struct("startLine", "startChar")
-    span = body.select("module", F.struct("startLine", "startChar").alias("_from"), F.struct("endLine", "endChar").alias("_to"))
-    return refs.join(span, "module").filter((F.col("_from") <= at) & (at < F.col("_to"))).drop("_from", "_to")
+    span = body.select("module", F.explode(bins("startLine", "endLine")).alias("_bin"), F.struct("startLine", "startChar").alias("_from"), F.struct("endLine", "endChar").alias("_to"))
+    near = refs.withColumn("_bin", F.floor(F.col("startLine") / BIN)).join(span, ["module", "_bin"])
+    return near.filter((F.col("_from") <= at) & (at < F.col("_to"))).select(*refs.columns)
 
 
 def move_dependencies(refs: DataFrame, body: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
