@@ -121,7 +121,7 @@ def with_text_columns(docs: DataFrame, text_col: str, fn: Callable[[list], list[
     """
     new = T.StructType.fromDDL(added)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
-    base = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
+    base = docs.select(*kept, F.col(text_col).cast("string").alias(unused(docs, "_text")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, rows):
