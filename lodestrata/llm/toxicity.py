@@ -59,50 +59,66 @@ class CumulativeLink:
         return self.grades[0] + above @ np.diff(self.grades), (above > 0.5).sum(axis=1)
 
 
+def gradients(eta: np.ndarray, y: np.ndarray, s: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted negative log likelihood of the grades ``y`` at the scores ``eta``; its gradients by score and by cut."""
+    k = len(cuts) + 1
+    wide = np.concatenate(([-np.inf], cuts, [np.inf]))
+    upper, lower = (1 / (1 + np.exp(-np.clip(wide[y + j] - eta, -40, 40))) for j in (1, 0))
+    p = np.maximum(upper - lower, 1e-9)
+    dc = np.bincount(np.minimum(y, k - 2), np.where(y < k - 1, -upper * (1 - upper) / p * s, 0), k - 1)
+    dc += np.bincount(np.maximum(y - 1, 0), np.where(y > 0, lower * (1 - lower) / p * s, 0), k - 1)
+    return float(-(s * np.log(p)).sum()), (1 - upper - lower) * s, dc
+
+
 def fit(samples: list[tuple[float, np.ndarray, float]]) -> CumulativeLink:
-    """(grade, buckets, weight) rows -> model, by proximal Adagrad over the ordinal likelihood."""
-    grades = sorted({g for g, _, _ in samples})
-    k = len(grades)
+    """(grade, buckets, weight) rows -> model."""
+    x = [np.asarray(x, np.int32) for _, x, _ in samples]
+    return fit_rows(np.array([g for g, _, _ in samples], float), np.concatenate([np.zeros(0, np.int32), *x]), np.array([len(v) for v in x], np.int64), np.array([w for *_, w in samples], float))
+
+
+def fit_rows(grade: np.ndarray, every: np.ndarray, size: np.ndarray, sw: np.ndarray) -> CumulativeLink:
+    """Proximal Adagrad over the ordinal likelihood; ``every`` holds the rows' sorted buckets end to end, ``size`` how many each has."""
+    grades, y = np.unique(grade, return_inverse=True)
+    k, n = len(grades), len(grade)
     if k < 2:
-        return CumulativeLink(grades or [0.0], {}, np.zeros(max(0, k - 1)))
-    every, df = np.unique(np.concatenate([np.asarray(x, np.int64) for _, x, _ in samples]), return_counts=True)
-    used_buckets = every[df >= MIN_TEXTS]
+        return CumulativeLink(grades.tolist() or [0.0], {}, np.zeros(max(0, k - 1)))
+    used_buckets, df = np.unique(every, return_counts=True)
+    used_buckets = used_buckets[df >= MIN_TEXTS]
     width = len(used_buckets)
-    at = [np.minimum(np.searchsorted(used_buckets, x), max(0, width - 1)) for _, x, _ in samples]
-    xs = [i[used_buckets[i] == x] if width else i[:0] for i, (_, x, _) in zip(at, samples)]
-    y = np.array([grades.index(g) for g, _, _ in samples])
-    sw = np.array([s for _, _, s in samples])
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
+    known = np.isin(every, used_buckets)
+    indices = np.searchsorted(used_buckets, every[known]).astype(np.int32)
+    size = np.bincount(row[known], minlength=n)
+    del row, known
+    first = np.concatenate(([0], size.cumsum()))[:-1]
     sw = sw / sw.mean()
     share = np.array([sw[y >= i].sum() for i in range(1, k)]) / sw.sum()
     cuts = -np.log(share / (1 - share))
     w, g2, c2 = np.zeros(width), np.full(width, 1e-8), np.full(k - 1, 1e-8)
     rng = np.random.default_rng(7)
-    for _ in range(max(EPOCHS, MIN_STEPS * BATCH // len(xs))):
-        order = rng.permutation(len(xs))
-        for i in range(0, len(order), BATCH):
+    for _ in range(max(EPOCHS, MIN_STEPS * BATCH // n)):
+        order = rng.permutation(n)
+        for i in range(0, n, BATCH):
             rows = order[i : i + BATCH]
-            flat = np.concatenate([xs[r] for r in rows])
-            if not len(flat):
+            ends = size[rows].cumsum()
+            if not ends[-1]:
                 continue
-            owner = np.repeat(np.arange(len(rows)), [len(xs[r]) for r in rows])
+            owner = np.repeat(np.arange(len(rows)), size[rows])
+            flat = indices[np.arange(ends[-1]) + (first[rows] - ends + size[rows])[owner]]
             eta = np.bincount(owner, w[flat], len(rows))
-            yy, s = y[rows], sw[rows] / len(rows)
-            wide = np.concatenate(([-np.inf], cuts, [np.inf]))
-            upper, lower = (1 / (1 + np.exp(-np.clip(wide[yy + j] - eta, -40, 40))) for j in (1, 0))
-            p = np.maximum(upper - lower, 1e-9)
-            grad = np.bincount(flat, ((1 - upper - lower) * s)[owner], width)
-            used = np.unique(flat)
-            g2[used] += grad[used] ** 2
+            _, de, dc = gradients(eta, y[rows], sw[rows] / len(rows), cuts)
+            grad = np.bincount(flat, de[owner], width)
+            used = np.flatnonzero(np.bincount(flat, minlength=width))
+            g = grad[used]
+            g2[used] += g**2
             step = RATE / np.sqrt(g2[used])
-            moved = w[used] - step * grad[used]
+            moved = w[used] - step * g
             w[used] = np.sign(moved) * np.maximum(0.0, np.abs(moved) - step * L1)
-            dc = np.bincount(np.minimum(yy, k - 2), np.where(yy < k - 1, -upper * (1 - upper) / p * s, 0), k - 1)
-            dc += np.bincount(np.maximum(yy - 1, 0), np.where(yy > 0, lower * (1 - lower) / p * s, 0), k - 1)
             c2 += dc**2
             cuts = np.maximum.accumulate(cuts - RATE * dc / np.sqrt(c2))
             cuts += np.arange(k - 1) * 1e-6
     kept = np.flatnonzero(w)
-    return CumulativeLink([float(g) for g in grades], dict(zip(used_buckets[kept].tolist(), w[kept].tolist())), cuts)
+    return CumulativeLink(grades.tolist(), dict(zip(used_buckets[kept].tolist(), w[kept].tolist())), cuts)
 
 
 def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> CumulativeLink:
@@ -128,7 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(some, "doc_id")
     found = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("doc_id", "grade", features("text").alias("x")).collect()
-    return fit([(r.grade, np.frombuffer(r.x, "<i4"), per[r.grade]) for r in sorted(found, key=lambda r: r.doc_id)])
+    found.sort(key=lambda r: r.doc_id)
+    grade, size = np.array([r.grade for r in found]), np.array([len(r.x) // 4 for r in found], np.int64)
+    every = np.frombuffer(b"".join([r.x for r in found]), "<i4")
+    del found
+    return fit_rows(grade, every, size, np.array([per[g] for g in grade.tolist()]))
 
 
 def grade_documents(
