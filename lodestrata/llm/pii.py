@@ -6,8 +6,11 @@ cards glued to other numbers, obfuscated addresses, ...).  Gradient-boosted tree
 its surroundings, a Platt fit turns the margin into a probability, and each kind has the smallest threshold that keeps the
 wanted precision on held-out cases.  Candidates above it are taken best first, none overlapping another or a base span.
 
-The trees are trained here on generated sentences with known spans (``training_cases``, seeded), so the model does not
-depend on the corpus and is the same on every run.
+The trees are trained here, on two kinds of cases: generated sentences with known spans (``training_cases``, seeded), and
+contexts of the corpus (``train_on``), a bounded sample of at most ``CONTEXTS`` stretches.  A context around a span of the
+base rules shows how the corpus writes before and after personal data; the span is kept or written in another of its
+formats, and is true either way.  A context around other digits is a look-alike; what in it may still be personal data
+(digits that pass Luhn, spelled-out addresses) is left out of the fit.  Thresholds are set on cases the trees didn't see.
 """
 
 from __future__ import annotations
@@ -81,14 +84,13 @@ def base_spans(text: str) -> list[Span]:
 
 _CLUSTER = re.compile(r"\+?\(?[0-9](?:[ ().-]{0,3}[0-9])*")
 _GROUP = re.compile(r"[0-9]+")
-_HINT = re.compile(r"@|[\[({] ?(?:at|AT) ?[\])}]|[\[({] ?(?:dot|DOT) ?[\])}]|\b(?:dot|DOT)\b")
+_HINT = re.compile(r"@|[\[({] ?(?:at|AT) ?[\])}]|[\[({] ?(?:dot|DOT) ?[\])}]|\b(?:dot|DOT)\b| (?:at|AT) (?=[\w-]{1,63}\.\w)")
 _LOOSE = re.compile(
     r"(?<![\w.%+-])[\w%+-](?:[\w.%+-]{0,62}[\w%+-])?(?: ?@ ?| ?[\[({] ?(?:at|AT) ?[\])}] ?| (?:at|AT) )[\w-]{1,63}"
     r"(?:(?:\.| ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) )[\w-]{1,63}){1,5}"
 )
-_WINDOW = 160
-#: Groups of digits that one candidate may span.
-_MOST_GROUPS = 6
+#: An address is at most this long: a local part of 64 and six labels of 63 (the limits of mail), with what stands between.
+_WINDOW = 64 + 6 * (63 + 8)
 # Words beside a number that speak for a kind or against any. Fixed values.
 _SPEAKS = {
     "email": re.compile(r"(?i)\b(e-?mail|mail|contact|write|address|reach)\b"),
@@ -110,7 +112,7 @@ def candidates(text: str) -> list[Span]:
         lens = [len(g.group()) for g in groups]
         for i in range(len(groups)):
             n = 0
-            for j in range(i, min(len(groups), i + _MOST_GROUPS)):
+            for j in range(i, len(groups)):
                 n += lens[j]
                 if n > 19:
                     break
@@ -175,7 +177,8 @@ def training_cases(n: int, seed: int) -> list[tuple[str, set[Span]]]:
 
     def phone() -> tuple[str, str]:
         a, b, c = str(rng.randrange(2, 10)) + num(2), num(3), num(4)
-        bare = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{num(2)} {num(3)} {num(4)}", f"0{num(3)}-{num(6)}"]
+        bare = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{num(2)} {num(3)} {num(4)}", f"0{num(3)}-{num(6)}", f"0{num(4)} {num(6)}"]
+        bare += [f"00{rng.choice(['', ' '])}{rng.randrange(20, 99)} {rng.choice([f'{num(2)} {num(4)} {num(4)}', f'{num(4)} {num(6)}', f'{num(3)} {num(3)} {num(3)}'])}" for _ in range(2)]
         if rng.random() < 0.3:
             return "", rng.choice([f"+{rng.randrange(1, 99)} ({a}) {b}-{c}", f"+{rng.randrange(1, 99)} {a} {b} {c}", f"+{rng.randrange(1, 99)}{a}{b}{c}"])
         return rng.choice(["tel ", "phone: ", "call ", "fax ", "mobile: ", "cell "]), rng.choice(bare)
@@ -184,8 +187,8 @@ def training_cases(n: int, seed: int) -> list[tuple[str, set[Span]]]:
         n = rng.choice([16, 16, 16, 19])
         c = _card(rng, n)
         parts = [c[i : i + 4] for i in range(0, n, 4)]
-        if rng.random() < 0.15:
-            return "", _card(rng) + " \0" + num(rng.choice([3, 4]))  # a card, then a number that is none
+        if rng.random() < 0.3:  # a card, then a number that is none
+            return rng.choice(["", "", "card ", "visa "]), rng.choice([c, " ".join(parts), "-".join(parts)]) + " \0" + num(rng.choice([3, 4, 4, 5]))
         return rng.choice(["", "", "card ", "visa: ", "credit card "]), rng.choice([c, " ".join(parts), "-".join(parts)])
 
     def ip() -> tuple[str, str]:
@@ -289,20 +292,73 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
     return model
 
 
-def _cases(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+# ---- contexts of the corpus ----------------------------------------------------------------------------------------------
+
+#: Contexts that a fit takes at most, those of one document, and characters on either side of a span.
+CONTEXTS, PER_DOC, SIDE = 4000, 4, 48
+
+
+def contexts(text: str) -> list[tuple[str | None, str, str, str]]:
+    """(kind, left, span, right) of up to ``PER_DOC`` stretches: spans of the base rules first, then other runs of digits (no kind)."""
+    base = sorted(base_spans(text), key=lambda s: s[1])
+    cut = lambda k, a, z: (k, text[max(0, a - SIDE) : a], text[a:z], text[z : z + SIDE])
+    out = [cut(*s) for s in base[: PER_DOC // 2]]
+    for m in _CLUSTER.finditer(text):
+        if len(out) >= PER_DOC:
+            break
+        if 4 <= len(_digits(m.group())) and m.end() - m.start() <= 2 * SIDE and not any(a < m.end() and m.start() < z for _, a, z in base):
+            out.append(cut(None, *m.span()))
+    return out
+
+
+def rewritten(kind: str, value: str, rng: random.Random) -> tuple[str, str]:
+    """A known span in one of the formats that people write it in, and what may follow it."""
+    d = _digits(value)
+    if kind == "email" and rng.random() < 0.6:
+        at, dot = rng.choice([(" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("[at]", "."), (" at ", ".")])
+        local, _, domain = value.partition("@")
+        return local + at + domain.replace(".", dot), ""
+    if kind == "phone" and rng.random() < 0.6 and len(d) >= 10:
+        a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{d[:-10]} {a} {b} {c}", f"00{d[:-10]} {a[:2]} {a[2:]}{b[0]} {b[1:]} {c[:2]} {c[2:]}"]), ""
+    if kind == "card":
+        new = rng.choice([value, d, " ".join(d[i : i + 4] for i in range(0, len(d), 4)), "-".join(d[i : i + 4] for i in range(0, len(d), 4))])
+        return new, f" {rng.randrange(100, 9999)}" if rng.random() < 0.3 else ""
+    return value, ""
+
+
+def _of_contexts(found: list[tuple], seed: int) -> list[tuple[str, set[Span], bool]]:
+    """(text, true spans, whether other candidates that may be personal data are unknown) of each context."""
+    rng, out = random.Random(seed), []
+    for kind, left, value, right in found:
+        new, more = rewritten(kind, value, rng) if kind else (value, "")
+        text = left + new + more + right
+        true = set(base_spans(text)) if not more else {s for s in base_spans(text) if s[2] <= len(left) or s[1] >= len(left) + len(new)}
+        if kind:
+            true.add((kind, len(left), len(left) + len(new)))
+        out.append((text, true, True))
+    return out
+
+
+def _cases(cases: list[tuple[str, set[Span], bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and truth of what the trees are asked about: candidates beside the base spans."""
     x, y = [], []
-    for text, true in training_cases(n, seed):
-        for c in set(candidates(text)) | {s for s in base_spans(text)}:
+    for text, true, partial in cases:
+        base = base_spans(text)
+        for c in sorted(set(candidates(text))):
+            if any(a < c[2] and c[1] < z for _, a, z in base):
+                continue
+            if partial and c not in true and (c[0] == "email" or c[0] == "card" and luhn(_digits(text[c[1] : c[2]]))):
+                continue
             x.append(features(text, c))
             y.append(c in true)
-    return np.array(x, float), np.array(y, float)
+    return np.array(x, float).reshape(len(x), -1), np.array(y, float)
 
 
-@lru_cache(maxsize=4)
-def train(n: int = 2500, seed: int = 17, precision: float = PRECISION) -> Boosted:
-    """Fit on ``n`` generated sentences, calibrate and set thresholds on others."""
-    model = boost(*_cases(n, seed))
-    x, y = _cases(n, seed + 1)
+def _fit(to_fit: list, to_set: list, precision: float) -> Boosted:
+    """Trees on ``to_fit``; the Platt fit and the thresholds on ``to_set``."""
+    model = boost(*_cases(to_fit))
+    x, y = _cases(to_set)
     m = model.margin(x)
     a, b = 1.0, 0.0
     for _ in range(200):  # Newton steps of the Platt fit
@@ -321,6 +377,40 @@ def train(n: int = 2500, seed: int = 17, precision: float = PRECISION) -> Booste
     return model
 
 
+def _generated(n: int, seed: int) -> list[tuple[str, set[Span], bool]]:
+    return [(text, true, False) for text, true in training_cases(n, seed)]
+
+
+@lru_cache(maxsize=4)
+def train(n: int = 2500, seed: int = 17, precision: float = PRECISION) -> Boosted:
+    """Fit on ``n`` generated sentences, calibrate and set thresholds on others; the same on every run."""
+    return _fit(_generated(n, seed), _generated(n, seed + 1), precision)
+
+
+def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2500, seed: int = 17, precision: float = PRECISION) -> Boosted:
+    """Fit on generated sentences and on at most ``CONTEXTS`` contexts of ``docs``, two thirds of them; thresholds on the rest.
+
+    The sample is by hash of id and text, so the same rows give the same model.  A table without digits or addresses gives
+    the model of :func:`train`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            rows = [(h, i, *c) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, c in enumerate(contexts(t))]
+            types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["h", "i", "kind", "left", "span", "right"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("h"), text.alias("text"))
+    # a hash thins the rows where they are read: so many documents that one in eight with a context is enough
+    share = min(1.0, 8 * CONTEXTS / max(1, docs.count()))
+    thin = rows.filter((F.shiftrightunsigned("h", 11) < F.lit(int(share * (1 << 53)))) & text.rlike("[0-9]{2}|@"))
+    some = thin.mapInArrow(run, "h long, i int, kind string, left string, span string, right string")
+    found = some.dropDuplicates(["h", "i"]).orderBy("h", "i").limit(CONTEXTS).collect()
+    part = lambda ok: _of_contexts([(r.kind, r.left, r.span, r.right) for r in found if (r.h % 3 != 0) == ok], seed)
+    return _fit(_generated(n, seed) + part(True), _generated(n, seed + 1) + part(False), precision)
+
+
 def all_spans(texts: list[str], model: Boosted) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, both by kind as listed and then by start."""
     base = [base_spans(t) for t in texts]
@@ -346,9 +436,10 @@ def _joined(spans: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each whole text.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added, has_pii) for each whole text.
 
-    Counts and digest are of the base spans, ``spans`` lists all.  Offsets are code points, ends exclusive.  A null text
+    The counts by kind and the digest are of the base spans, ``spans`` and ``n_spans`` of all, ``n_added`` of those that the
+    trees add; ``has_pii`` says whether there is any.  Offsets are code points, ends exclusive.  A null text
     counts as empty; repeated rows give repeated rows; other columns are ignored.
     """
 
@@ -358,12 +449,13 @@ def find_pii(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col:
             counts = [[sum(s[0] == k for s in base) for base, _ in found] for k in KINDS]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found], pa.string()),
-                 pa.array([_joined(every) for _, every in found], pa.string())],
-                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                 pa.array([_joined(every) for _, every in found], pa.string()), pa.array([len(every) for _, every in found], pa.int64()),
+                 pa.array([len(every) - len(base) for base, every in found], pa.int64()), pa.array([bool(every) for _, every in found], pa.bool_())],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_added", "has_pii"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long, has_pii boolean")
 
 
 def masked(text: str, spans: list[Span]) -> str:

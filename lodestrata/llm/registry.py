@@ -121,7 +121,8 @@ def op9(spark, sf_dir):
 @query("op10_pii_boosted")
 def op10(spark, sf_dir):
     """Personal data in every whole text: base spans, and those the boosted trees add."""
-    return pii.find_pii(table(spark, sf_dir, "documents"), pii.train())
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train_on(docs))
 
 
 @query("pipeline")
