@@ -97,3 +97,35 @@ def test_run_and_empty(spark):
         docs = stage(spark, docs, SF)
         assert docs.collect() == []
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+NAMES = ["_severity", "_grade", "_h", "_id", "_th", "_turn", "_size", "_taken", "_slot", "_at", "_of", "_row", "_no", "_text", "_a", "_b", "key", "kept", "uid", "source_size"]
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Columns named like the stages' own come out as they went in; a very long text goes through whole."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    words = [f"w{i % 977}x{i % 13}" for i in range(70_000)]
+    rows = [(i, " ".join(f"t{i}n{j}" for j in range(30 + i)), "en", f"src{i % 2}", 1) for i in range(12)] + [(50, " ".join(words), "en", "src0", 1)]
+    rows = [(*r, *(f"{n}{r[0]}" for n in NAMES)) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *NAMES]
+        got = docs.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in NAMES)
+        docs = spark.createDataFrame(got, docs.schema)
+    assert sum(r.n_tokens for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()) > 70_000
+
+
+def test_near_copies_without_ids(spark):
+    base = [f"w{i}" for i in range(300)]
+    a, b, c = " ".join(base), " ".join([*base[:-1], "y"]), " ".join([*base[:-1], "z"])
+    near = corpus_pipeline.STAGES[1][1]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for ids, left in (((1, 2, 3), [1]), ((1, None, None), [1]), ((None, None, 5), [5]), ((None, None, None), [None])):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, (a, b, c))] + [(9, "one two", "en", "s", 1)], schema)
+        assert sorted([r.doc_id for r in near(spark, docs, SF).collect()], key=str) == sorted([9, *left], key=str)
+    same = spark.createDataFrame([(1, a, "en", "s1", 1), (1, a, "en", "s2", 1), (1, a, "en", "s2", 1)], schema)
+    assert len({near(spark, d, SF).collect()[0] for d in (same, same.repartition(3), same.orderBy("source"))}) == 1
