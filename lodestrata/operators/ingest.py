@@ -174,12 +174,16 @@ def resolve_specifiers(imports: DataFrame, modules: DataFrame, base: Column | No
 
 
 def resolve_candidates(imports: DataFrame, candidates: Column, modules: DataFrame) -> DataFrame:
-    """The first of an array of candidate paths that exists."""
+    """The first of an array of candidate paths that exists.
+
+    Modules and answers grow with the workspace, and a file's size says little about its rows once they are paths: both
+    joins are merged, so that neither side is ever gathered on the driver to be broadcast.
+    """
     asked = imports.select("module", "specifier").distinct().withColumn("_c", candidates)
     each = asked.select("module", "specifier", F.posexplode("_c").alias("_i", "target"))
-    hit = each.join(modules.select(F.col("module").alias("target")).distinct(), "target")
+    hit = each.join(modules.select(F.col("module").alias("target")).distinct().hint("merge"), "target")
     first = hit.groupBy("module", "specifier").agg(F.min_by("target", "_i").alias("target"))
-    return imports.join(first, ["module", "specifier"], "left")
+    return imports.join(first.hint("merge"), ["module", "specifier"], "left")
 
 
 def unreachable(files: DataFrame, reached: DataFrame) -> DataFrame:

@@ -78,9 +78,10 @@ def bind_across(refs: DataFrame, resolved: DataFrame, symbols: DataFrame) -> Dat
     """Unbound references whose name the file imports, bound to the target module's top-level declaration.
 
     An explicit import of the name comes before star imports, and a star import alone never proves a binding: what it could
-    mean stays ambiguous.  Imports of packages explain a reference as an external dependency.
+    mean stays ambiguous.  Imports of packages explain a reference as an external dependency.  Symbols and imported names
+    grow with the workspace, so the joins are merged and nothing is gathered on the driver to be broadcast.
     """
-    top = symbols.filter("containerId is null").select(F.col("module").alias("target"), F.col("name").alias("importedName"), "symbolId")
+    top = symbols.filter("containerId is null").select(F.col("module").alias("target"), F.col("name").alias("importedName"), "symbolId").hint("merge")
     named = resolved.filter("name is not null and name <> '*'").select("module", F.coalesce("localName", "name").alias("name"), F.col("name").alias("importedName"), "target", F.col("status").alias("_s"), F.lit(True).alias("_explicit"))
     starred = resolved.filter("name = '*' and target is not null").select("module", "target")
     by_star = starred.join(top, "target").select("module", F.col("importedName").alias("name"), "symbolId")
@@ -88,7 +89,7 @@ def bind_across(refs: DataFrame, resolved: DataFrame, symbols: DataFrame) -> Dat
         F.collect_set("symbolId").alias("_ids"), F.bool_or(F.col("_s") == "external").alias("_external")
     )
     star = by_star.groupBy("module", "name").agg(F.collect_set("symbolId").alias("_stars"))
-    joined = refs.join(hit, ["module", "name"], "left").join(star, ["module", "name"], "left")
+    joined = refs.join(hit.hint("merge"), ["module", "name"], "left").join(star.hint("merge"), ["module", "name"], "left")
     # a member access has its own reason and is not a name of the file
     open_ = (F.col("status") == "unbound") & ~F.col("reason").eqNullSafe(F.lit("DynamicallyTyped"))
     n = F.coalesce(F.size("_ids"), F.lit(0))

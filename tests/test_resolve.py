@@ -32,3 +32,16 @@ def test_binding(spark):
     bound = {(r.module, r.name): (r.status, r.targetId, r.reason) for r in bind_across(facts["refs"], resolved, facts["symbols"]).filter("role = 'call'").collect()}
     assert bound["p/a.py", "g"] == ("bound", "sym python p/b.py f().", None) and bound["s/m.ts", "k"] == ("bound", "sym typescript s/n.ts k().", None)
     assert bound["p/a.py", "h"][0] == "ambiguous" and bound["p/a.py", "q"] == ("unbound", None, "ExternalDependency") and bound["p/a.py", "gone"][0] == "unbound" and bound["p/a.py", "f"] == ("unbound", None, "DynamicallyTyped")
+
+
+def test_modules_are_not_gathered_on_the_driver(spark):
+    imports = spark.range(50).selectExpr("concat('s/a', id, '.ts') as module", "concat('./m', id) as specifier")
+    modules = spark.range(0, 50, 2).selectExpr("concat('s/m', id, '.ts') as module")
+    got = resolve_imports(imports, modules)
+    assert sum(r.target is not None for r in got.collect()) == 25
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    none = "cast(null as string)"
+    refs = imports.selectExpr("module", "'go' as name", "'unbound' as status", f"{none} as targetId", "cast(array() as array<string>) as candidates", f"{none} as provenance", "'NotIndexed' as reason")
+    named = got.selectExpr("module", "'go' as name", f"{none} as localName", "target", "status")
+    bound = bind_across(refs, named, modules.selectExpr("module", "'go' as name", "concat('sym', module) as symbolId", f"{none} as containerId"))
+    assert "Broadcast" not in bound._jdf.queryExecution().executedPlan().toString()
