@@ -357,17 +357,18 @@ def string_literals(f):
 # ---- extraction --------------------------------------------------------------------------------------------------------
 
 
-def _facts(files):
+def _facts(files, *only: str):
+    """Facts of the kinds that a query reads; the others need not leave the worker."""
     from lodestrata.sources.extract import extract
 
-    return extract(files)
+    return extract(files, only=only)
 
 
 @query("json_facts", "select event_id, json_extract_string(props, '$.k') as value, cast(json_extract_string(props, '$.k') as double) as number, 'k' as name from events")
 def json_facts(f):
     """The key of each event's properties as a declaration, and its value as a literal."""
     files = f.t("events").select(F.concat(F.lit("e/"), F.col("event_id"), F.lit(".json")).alias("module"), F.col("props").alias("text"))
-    facts = _facts(files).select("module", F.explode("literals").alias("l"), F.col("declarations")[0]["name"].alias("name"))
+    facts = _facts(files, "declarations", "literals").select("module", F.explode("literals").alias("l"), F.col("declarations")[0]["name"].alias("name"))
     return facts.select(F.regexp_extract("module", r"(\d+)", 1).cast("long").alias("event_id"), F.col("l.value").alias("value"), F.col("l.number").alias("number"), "name")
 
 
@@ -381,7 +382,7 @@ def markdown_facts(f):
     body = F.concat(F.lit("# Source "), "source", F.lit("\n\n"), "lang", F.lit(" words\n"), fence)
     files = f.t("documents").filter("source is not null and lang is not null").select(F.concat(F.lit("d/"), F.col("doc_id"), F.lit(".md")).alias("module"), body.alias("text"))
     docs = lambda fenced: F.filter("docs", lambda d: d["fenced"] == F.lit(fenced))
-    return _facts(files).select(
+    return _facts(files, "declarations", "docs").select(
         F.regexp_extract("module", r"(\d+)", 1).cast("long").alias("doc_id"), F.filter("declarations", lambda d: d["kind"] == "heading")[0]["name"].alias("heading"),
         docs(False)[0]["normalized"].alias("prose"), F.get(docs(True), F.lit(0))["normalized"].alias("fenced"),
     )
@@ -397,16 +398,16 @@ def python_facts(f):
     body = F.concat(F.when(even, F.concat(F.lit("# even "), "p_brand", F.lit("\n"))).otherwise(""), F.lit("def part_"), F.col("p_partkey"), F.when(even, "(a, b)").otherwise("(a)"), F.lit(":\n    return "), F.col("p_size"), F.lit("\n"))
     files = f.t("part").select(F.concat(F.lit("p/"), F.col("p_partkey"), F.lit(".py")).alias("module"), body.alias("text"))
     found = F.filter("declarations", lambda d: d["kind"] == "function")[0]
-    return _facts(files).select(
+    return _facts(files, "declarations", "literals", "comments").select(
         F.regexp_extract("module", r"(\d+)", 1).cast("long").alias("p_partkey"), found["name"].alias("name"), found["mParameters"].alias("parameters"), F.col("literals")[0]["number"].alias("number"),
         F.get("comments", F.lit(0))["normalized"].alias("comment"),
     )
 
 
-def _code(f, extension: str, body):
-    """One file a part, and (p_partkey, facts)."""
+def _code(f, extension: str, body, only: str):
+    """One file a part, and (p_partkey, facts of one kind)."""
     files = f.t("part").select(F.concat(F.lit("p/"), F.col("p_partkey"), F.lit(extension)).alias("module"), body.alias("text"))
-    return _facts(files).withColumn("p_partkey", F.regexp_extract("module", r"(\d+)", 1).cast("long"))
+    return _facts(files, only).withColumn("p_partkey", F.regexp_extract("module", r"(\d+)", 1).cast("long"))
 
 
 def _members(facts):
@@ -426,7 +427,7 @@ def _vis(a: str, b: str):
 def typescript_members(f):
     """X16, X18."""
     body = F.concat(_vis("export ", ""), F.lit("class P"), F.col("p_partkey"), F.lit(" {\n  private size = "), F.col("p_size"), F.lit(";\n  area(a: number): number { return this.size; }\n}\n"))
-    return _members(_code(f, ".ts", body))
+    return _members(_code(f, ".ts", body, "declarations"))
 
 
 @query(
@@ -436,7 +437,7 @@ def typescript_members(f):
 def typescript_roles(f):
     """Calls, compound writes and instantiations, bound in their file."""
     body = F.concat(F.lit("class P {}\nlet n = 1;\nfunction go() { return 1; }\ngo();\nn "), _vis("+= 2", "- 2"), F.lit(";\nnew P();\n"))
-    return _code(f, ".ts", body).select("p_partkey", F.explode("references").alias("r")).select("p_partkey", "r.name", "r.role", F.col("r.targetId").isNotNull().alias("bound"))
+    return _code(f, ".ts", body, "references").select("p_partkey", F.explode("references").alias("r")).select("p_partkey", "r.name", "r.role", F.col("r.targetId").isNotNull().alias("bound"))
 
 
 @query(
@@ -447,7 +448,7 @@ def typescript_roles(f):
 def csharp_members(f):
     """X20."""
     body = F.concat(_vis("public ", ""), F.lit("class P"), F.col("p_partkey"), F.lit(" {\n  int size = "), F.col("p_size"), F.lit(";\n  "), _vis("protected ", ""), F.lit("int Area(int a) { return size; }\n}\n"))
-    return _members(_code(f, ".cs", body))
+    return _members(_code(f, ".cs", body, "declarations"))
 
 
 @query(
@@ -457,7 +458,7 @@ def csharp_members(f):
 def kotlin_members(f):
     """X21."""
     body = F.concat(F.lit("package p\n"), _vis("internal ", ""), F.lit("class P"), F.col("p_partkey"), F.lit(" {\n  private val size = "), F.col("p_size"), F.lit("\n  fun area(): Int { return size }\n}\n"))
-    return _members(_code(f, ".kt", body))
+    return _members(_code(f, ".kt", body, "declarations"))
 
 
 @query(
@@ -467,21 +468,21 @@ def kotlin_members(f):
 def gdscript_members(f):
     """X22."""
     body = F.concat(F.lit("extends Node\nvar size = "), F.col("p_size"), F.lit("\nfunc "), _vis("_go", "go"), F.lit("():\n\treturn size\n"))
-    return _members(_code(f, ".gd", body))
+    return _members(_code(f, ".gd", body, "declarations"))
 
 
 @query("python_references", "select p_partkey, case when p_size % 2 = 0 then 'bound' else 'unbound' end as status, case when p_size % 2 = 0 then 'go' else 'gone' end as name from part")
 def python_references(f):
     """A call that means the function above, and one that means nothing here."""
     body = F.concat(F.lit("def go():\n    pass\n\n\ndef run():\n    "), _vis("go", "gone"), F.lit("()\n"))
-    return _code(f, ".py", body).select("p_partkey", F.explode("references").alias("r")).select("p_partkey", "r.status", "r.name")
+    return _code(f, ".py", body, "references").select("p_partkey", F.explode("references").alias("r")).select("p_partkey", "r.status", "r.name")
 
 
 @query("yaml_facts", "select p_partkey, unnest([{'kind': 'string', 'value': p_name}, {'kind': 'number', 'value': cast(p_size as varchar)}, {'kind': 'boolean', 'value': case when p_size % 2 = 0 then 'true' else 'false' end}], recursive := true) from part")
 def yaml_facts(f):
     """Scalars of two YAML documents in one file."""
     body = F.concat(F.lit("name: "), "p_name", F.lit("\nsize: "), F.col("p_size"), F.lit("\n---\neven: "), _vis("true", "false"), F.lit("\n"))
-    return _code(f, ".yaml", body).select("p_partkey", F.explode("literals").alias("l")).select("p_partkey", "l.kind", "l.value")
+    return _code(f, ".yaml", body, "literals").select("p_partkey", F.explode("literals").alias("l")).select("p_partkey", "l.kind", "l.value")
 
 
 @query("jsonl_facts", "select p_partkey, unnest([p_name, cast(p_size as varchar)]) as value, case when p_size % 2 = 0 then 1 else 0 end as notes from part")
@@ -489,8 +490,8 @@ def jsonl_facts(f):
     """Records line by line, and a note where a file is lenient JSON."""
     body = F.concat(F.lit('{"a": "'), "p_name", F.lit('"}\n{"a": '), F.col("p_size"), F.lit("}\n"))
     lenient = F.concat(F.lit('{"a": 1'), _vis(" // odd\n", "\n"), F.lit("}"))
-    notes = _code(f, ".json", lenient).select("p_partkey", F.size("notes").alias("notes"))
-    return _code(f, ".jsonl", body).select("p_partkey", F.explode("literals").alias("l")).join(notes, "p_partkey").select("p_partkey", F.col("l.value").alias("value"), "notes")
+    notes = _code(f, ".json", lenient, "notes").select("p_partkey", F.size("notes").alias("notes"))
+    return _code(f, ".jsonl", body, "literals").select("p_partkey", F.explode("literals").alias("l")).join(notes, "p_partkey").select("p_partkey", F.col("l.value").alias("value"), "notes")
 
 
 @query(
@@ -540,7 +541,7 @@ def attached_comments(f):
     own = F.concat(F.lit("part_"), k.cast("string"))
     body = F.when(k % 3 == 0, F.concat(F.lit("# about\n"), own, F.lit(" = 1\n"))).when(k % 3 == 1, F.concat(own, F.lit(" = 1  # about\n"))).otherwise(F.concat(F.lit("# about\n\n\n"), own, F.lit(" = 1\n")))
     files = f.t("part").select(F.concat(F.lit("p/"), k, F.lit(".py")).alias("module"), body.alias("text"))
-    rows = _facts(files).select("module", F.col("comments")[0].alias("c"), "declarations")
+    rows = _facts(files, "declarations", "comments").select("module", F.col("comments")[0].alias("c"), "declarations")
     anchor = F.get(F.filter("declarations", lambda d: d["symbolId"] == F.col("c.anchorId")), F.lit(0))["name"]
     return rows.select(F.regexp_extract("module", r"(\d+)", 1).cast("long").alias("p_partkey"), F.col("c.form").alias("form"), anchor.alias("anchor"))
 

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
-from lodestrata.sources.extract.base import explode_facts, extract, parse_file
+from lodestrata.functions.coordinates import Coordinates
+from lodestrata.sources.extract.base import Facts, explode_facts, extract, parse_file
 
 
 def names(f):
@@ -109,3 +111,38 @@ def test_tables(spark):
     assert facts.count() == len(CODE) + 2 and [r.module for r in tables["parse_failures"].collect()] == ["bad.json"]
     ids = [r.factId for t in ("symbols", "refs", "literals", "imports", "comments") for r in tables[t].select("factId").collect()]
     assert len(ids) == len(set(ids)) and all(i.startswith("fact ") for i in ids)
+
+
+@pytest.mark.parametrize("module,text", [("a.yaml", "a: 1\n---\nb: x\n"), ("a.ts", "class P { private n = 1; }\nnew P();\n"), ("a.py", "# c\ndef f(a):\n    return f(1)\n"), ("a.gd", "var a = 1\n"), ("a.kt", "class A { val b = 1 }\n"), ("a.cs", "class A { int b = 1; }\n"), ("a.jsonl", '{"a": 1}\n')])
+def test_files_of_one_partition_are_dealt_out(spark, module, text):
+    files = spark.createDataFrame([(f"{i}/{module}", text) for i in range(64)], "module string, text string").coalesce(1)
+    got = extract(files, only=("declarations", "literals")).withColumn("_t", F.spark_partition_id())
+    assert got.columns == ["module", "provider", "error", "declarations", "literals", "_t"]
+    rows = got.collect()
+    assert len(rows) == 64 and len({r["_t"] for r in rows}) >= 4
+    want = parse_file(f"7/{module}", text)
+    mine = next(r for r in rows if r["module"] == f"7/{module}")
+    assert [d.asDict() for d in mine["declarations"]] == want.declarations and [x.asDict() for x in mine["literals"]] == want.literals
+
+
+def test_spans_of_wide_characters_and_line_ends():
+    text = "a😀\r\nb\r😀c\n😀"
+    at, f = Coordinates(text), Facts("m.ts", "typescript", text)
+    assert [at.line_text(i) for i in range(at.line_count())] == ["a😀", "b", "😀c", "😀"] and at.position(4) is None
+    assert f.span(6, 8) == {"startLine": 2, "startChar": 0, "endLine": 2, "endChar": 3} and f.span(0, 2)["endChar"] == 3
+
+
+def test_plain_yaml_reads_as_by_the_pure_loader(monkeypatch):
+    import random
+
+    import yaml
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "b 1", ": ", ":\n  ", "\n", "\n- ", "- ", "---\n", " ", ".5", "yes", "...\n"]) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    read = lambda: [vars(parse_file("a.yaml", t)) | {"at": None} for t in texts]
+    fast = read()
+    monkeypatch.delattr(yaml, "CSafeLoader", raising=False)
+    assert fast == read() and sum(f["error"] is None for f in fast) > 300
+    calls = []
+    monkeypatch.setattr(yaml, "CSafeLoader", calls.append, raising=False)
+    assert parse_file("a.yaml", "a: {b: 1}\n").error is None and parse_file("a.yaml", "a: 'é'\n").error is None and not calls
