@@ -19,6 +19,8 @@ def parse(facts) -> None:
     shift = len(facts.text) - len(text)
     tree = ast.parse(text)
     _Reader(facts, text, shift).read(tree)
+    if "#" not in text and "\r" not in text:
+        return
     starts = _line_starts(text)
     try:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):
