@@ -490,7 +490,7 @@ def jsonl_facts(f):
     """Records line by line, and a note where a file is lenient JSON."""
     body = F.concat(F.lit('{"a": "'), "p_name", F.lit('"}\n{"a": '), F.col("p_size"), F.lit("}\n"))
     lenient = F.concat(F.lit('{"a": 1'), _vis(" // odd\n", "\n"), F.lit("}"))
-    notes = _code(f, ".json", lenient, "notes").select("p_partkey", F.size("notes").alias("notes"))
+    notes = _code(f, ".json", lenient, "notes").select("p_partkey", F.size("notes").alias("notes")).hint("merge")
     return _code(f, ".jsonl", body, "literals").select("p_partkey", F.explode("literals").alias("l")).join(notes, "p_partkey").select("p_partkey", F.col("l.value").alias("value"), "notes")
 
 
