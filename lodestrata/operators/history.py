@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.functions.search import word_pattern
+from lodestrata.runtime import tasks
 
 WIDTH, RECENT, MENTIONS, SHORTEST_NAME = 40, 20, 20, 3
 
@@ -35,9 +36,12 @@ def file_history(changes: DataFrame, commits: DataFrame, recent: int = RECENT) -
     """A12 for every file: commits, lines, first and last time, the newest commits, and whether history was cut short.
 
     The newest are ranked under a limit, which each task applies before the shuffle: a file that every commit touches sends
-    ``recent`` rows a task.
+    ``recent`` rows a task.  Both sides are dealt out by commit into a number of tasks that is not lowered again, so that a
+    task sorts and counts its share alone; a commit is then in one task, which counts its files once and sends sums.
     """
-    joined = changes.join(commits.select("hash", "at", F.substring_index("message", "\n", 1).alias("subject")), "hash")
+    n = tasks(changes.sparkSession)
+    subjects = commits.select("hash", "at", F.substring_index("message", "\n", 1).alias("subject")).repartition(n, "hash")
+    joined = changes.repartition(n, "hash").join(subjects.hint("merge"), "hash")
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("at"), F.desc("hash")))
@@ -46,10 +50,10 @@ def file_history(changes: DataFrame, commits: DataFrame, recent: int = RECENT) -
     )
     oldest = commits.orderBy("at", "hash").limit(1).select("hash")
     cut = changes.join(F.broadcast(oldest), "hash", "left_semi").select("path").distinct().withColumn("truncated", F.lit(True))
-    sums = joined.groupBy("path").agg(
-        F.count_distinct("hash").alias("commits"), F.sum("added").alias("linesAdded"), F.sum("deleted").alias("linesDeleted"), F.min("at").alias("firstSeen"), F.max("at").alias("lastTouched")
-    )
-    return sums.join(newest, "path").join(cut, "path", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    once = joined.groupBy("hash", "path").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.min("at").alias("first"), F.max("at").alias("last"))
+    sums = once.groupBy("path").agg(F.count("hash").alias("commits"), F.sum("added").alias("linesAdded"), F.sum("deleted").alias("linesDeleted"), F.min("first").alias("firstSeen"), F.max("last").alias("lastTouched"))
+    # a left join, so that Spark leaves the newest out where nobody reads them
+    return sums.join(newest, "path", "left").join(cut, "path", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def mentioning(commits: DataFrame, name: str, limit: int | None = MENTIONS, text: str = "message") -> DataFrame:

@@ -30,6 +30,11 @@ def visible(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks heavy rows are dealt out: the session's shuffle partitions, at least four times its cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def on_path(fn: Callable) -> Callable:
     """A query or stage whose workers find this package."""
 

@@ -168,3 +168,13 @@ def test_rename_plan_and_gap_tree(spark):
     assert refactor.plan_rename(facts["symbols"], facts["refs"], facts["imports"], files, h, "h", "f")["collisions"].count() == 1
     answers = spark.createDataFrame([(h,)], "symbolId string")
     assert [(*r[:3], r.total) for r in knowledge.gap_tree(f, facts["refs"], facts["symbols"], answers).collect()] == [(h, 1, True, 2), (f, 0, False, 2)]
+
+
+def test_history_counts_a_commit_once_and_in_one_task(spark):
+    changes = spark.createDataFrame([(h, p, 1, 0) for h in range(40) for p in ("a", "a", f"f{h % 4}")], "hash long, path string, added long, deleted long")
+    commits = spark.range(40).selectExpr("id as hash", "timestamp_seconds(id) as at", "'m' as message")
+    got = history.file_history(changes, commits)
+    rows = {r.path: r for r in got.collect()}
+    assert (rows["a"].commits, rows["a"].linesAdded, len(rows["a"].recent), rows["f1"].commits) == (40, 80, 20, 10) and rows["f0"].truncated and not rows["f1"].truncated
+    lean = got.select("path", "commits", "truncated")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in lean and "RepartitionByExpression" in lean
